@@ -31,9 +31,13 @@ def nfkc(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, no Arabic marks or tatweel, folded letters, single spaces, trimmed."""
-    bare = F.regexp_replace(F.lower(text), ARABIC_MARKS, "")
-    folded = F.translate(bare, FOLD_FROM, FOLD_TO)
+    """Lower case, no Arabic marks or tatweel, folded letters, single spaces, trimmed.
+
+    Rows without any Arabic letter skip the Arabic steps.
+    """
+    low = F.lower(text)
+    arabic = F.translate(F.regexp_replace(low, ARABIC_MARKS, ""), FOLD_FROM, FOLD_TO)
+    folded = F.when(low.rlike(ARABIC_LETTERS), arabic).otherwise(low)
     return F.trim(F.regexp_replace(folded, "(?U)\\s+", " "))
 
 

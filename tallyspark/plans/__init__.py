@@ -6,6 +6,7 @@ from .registry import QUERIES, SQL
 
 MODULES = (
     "operations_queries",
+    "review_queries",
 )
 
 for _name in MODULES:

@@ -10,6 +10,7 @@ from ..functions.evidence import AnalysisPolicy
 from ..functions.text import keyword_signal
 from ..operators import checks, operations as ops
 from ..sources.tables import event_facts, order_facts, table
+from .display import rounded
 from .registry import query
 
 # Floors set for the driver's data; 129,600 minutes are 90 days.
@@ -63,14 +64,6 @@ def _events(spark, folder):
     return ops.prepare(event_facts(spark, folder), check=False)
 
 
-def _rounded(df, digits: int = 6):
-    """Round doubles for display; sums of doubles differ in their last bits between engines."""
-    return df.select(*[
-        F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
-        for f in df.schema.fields
-    ])
-
-
 @query("data_scope", f"""
 WITH {FACTS}
 SELECT strftime(min(created), '%Y-%m-%d') || ' to ' || strftime(max(created), '%Y-%m-%d') AS data_window,
@@ -78,7 +71,7 @@ SELECT strftime(min(created), '%Y-%m-%d') || ' to ' || strftime(max(created), '%
        count(DISTINCT rider) AS riders, count_if(has_comment)::BIGINT AS orders_with_comments,
        round(count_if(has_comment) / count(*), 6) AS comment_coverage FROM ops""")
 def data_scope(spark, folder):
-    return _rounded(ops.data_scope(_orders(spark, folder)))
+    return rounded(ops.data_scope(_orders(spark, folder)))
 
 
 @query("interval_metrics", f"""
@@ -117,7 +110,7 @@ FROM long_form {where} GROUP BY metric"""
     "WHERE created >= TIMESTAMP '1998-07-01' AND created < TIMESTAMP '1998-08-01'", "'1998-07-01 to 1998-07-31'", POLICY))
 def operations_summary(spark, folder):
     df = _orders(spark, folder)
-    return _rounded(ops.operations_summary(df, ops.period_window(df, "latest_complete_month", ANCHOR), POLICY))
+    return rounded(ops.operations_summary(df, ops.period_window(df, "latest_complete_month", ANCHOR), POLICY))
 
 
 @query("operations_summary_all_time", _summary_sql(
@@ -125,7 +118,7 @@ def operations_summary(spark, folder):
     ALL_TIME_POLICY))
 def operations_summary_all_time(spark, folder):
     df = _orders(spark, folder)
-    return _rounded(ops.operations_summary(df, ops.period_window(df, "all_time"), ALL_TIME_POLICY))
+    return rounded(ops.operations_summary(df, ops.period_window(df, "all_time"), ALL_TIME_POLICY))
 
 
 def _compare_sql(metric: str, p: AnalysisPolicy) -> str:
@@ -172,7 +165,7 @@ def _branch_change(metric):
     def run(spark, folder):
         df = _with_null_branch(_orders(spark, folder))
         report = ops.analyze(df, "branch_delivery_change", metric=metric, policy=POLICY, anchor=ANCHOR)
-        return _rounded(report.withColumn("BranchID", F.coalesce("BranchID", F.lit("(none)"))))
+        return rounded(report.withColumn("BranchID", F.coalesce("BranchID", F.lit("(none)"))))
     return run
 
 
@@ -213,7 +206,7 @@ ops AS (
 def _hotspot(facts, dimension, policy):
     def run(spark, folder):
         df = facts(spark, folder)
-        return _rounded(ops.hotspots(df, dimension, ops.period_window(df, "all_time"), policy))
+        return rounded(ops.hotspots(df, dimension, ops.period_window(df, "all_time"), policy))
     return run
 
 
@@ -269,7 +262,7 @@ cells AS (
 SELECT section, item, measure, round(value, 6) AS value FROM cells""")
 def watchouts(spark, folder):
     df = _orders(spark, folder)
-    return _rounded(ops.analyze(df, "operational_watchouts", policy=POLICY, anchor=ANCHOR))
+    return rounded(ops.analyze(df, "operational_watchouts", policy=POLICY, anchor=ANCHOR))
 
 
 @query("keyword_signal", """

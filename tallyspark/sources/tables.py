@@ -71,3 +71,52 @@ def event_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("AddedToTripTime"),
         F.lit(None).cast("timestamp").alias("PickingUpTime"),
     )
+
+
+def event_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Reviews over events: brand = type, reviewer = user, branch = the ``k`` of the properties."""
+    e = table(spark, folder, "events")
+    return e.select(
+        F.col("event_id").alias("review_id"),
+        F.col("event_type").alias("brand_name"),
+        F.get_json_object("props", "$.k").cast("int").alias("branch_id"),
+        F.col("user_id").alias("reviewer_id"),
+        F.lit(None).cast("string").alias("review_text"),
+        F.least(F.lit(5), F.floor(F.col("value") / 30).cast("int") + 1).alias("stars"),
+        F.col("ts").alias("published_at"),
+        F.when(F.col("value") > 100, F.lit("thanks")).alias("owner_response_text"),
+        "value",
+    )
+
+
+def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Text reviews: brand = source, stars from the quality label (3 where there is none)."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    stars = F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 5).otherwise(3)
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("review_id"),
+        F.col("source").alias("brand_name"),
+        (F.col("doc_id") % 7).alias("branch_id"),
+        (F.col("doc_id") % 50).alias("reviewer_id"),
+        F.col("text").alias("review_text"),
+        stars.alias("stars"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600).alias("published_at"),
+        F.lit(None).cast("string").alias("owner_response_text"),
+        F.col("lang").alias("original_language"),
+        F.col("lang").alias("record_language"),
+    )
+
+
+def brands_of(reviews: DataFrame) -> DataFrame:
+    return reviews.select("brand_name").distinct()
+
+
+def chat_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of the conversations table: ``user`` is the customer, the rest is the brand."""
+    c = table(spark, folder, "conversations")
+    return c.select(
+        F.col("conv_id").alias("conversation_index"), (F.col("conv_id") % 10).alias("seed_id"),
+        F.lit("chat").alias("platform"), F.col("turn").alias("turn_index"),
+        F.when(F.col("role") == "user", "customer").otherwise("brand").alias("author"),
+        "text", (F.col("turn") * 3).alias("gap_minutes"),
+    )
