@@ -7,6 +7,7 @@ from .registry import QUERIES, SQL
 MODULES = (
     "operations_queries",
     "review_queries",
+    "triage_queries",
 )
 
 for _name in MODULES:
