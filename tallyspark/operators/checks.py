@@ -83,9 +83,13 @@ def missing_keys(df: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     return df.withColumn("missing", names).where(F.size("missing") > 0)
 
 
-def domain_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """One (rule, violations) row per rule, in a single pass. A null passes, like SQL CHECK."""
-    counts = df.agg(*[F.count_if(~rule).alias(name) for name, rule in rules.items()])
+def domain_violations(df: DataFrame, rules: Mapping[str, Column | str]) -> DataFrame:
+    """One (rule, violations) row per rule, in a single pass. A null passes, like SQL CHECK.
+
+    A rule is a boolean column or its SQL text.
+    """
+    column = lambda rule: F.expr(rule) if isinstance(rule, str) else rule
+    counts = df.agg(*[F.count_if(~column(rule)).alias(name) for name, rule in rules.items()])
     pairs = F.explode(F.array(*[
         F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules
     ]))

@@ -86,7 +86,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     ])
 
 
-def _bucket_offsets(sums: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+def bucket_offsets(sums: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
     """Total weight of all buckets before each bucket; ``sums`` holds ``__w`` per bucket."""
     parents = keys + levels[:-1]
     if not parents:
@@ -95,7 +95,7 @@ def _bucket_offsets(sums: DataFrame, keys: list[str], levels: list[str]) -> Data
     within = sums.withColumn("__off", F.coalesce(F.sum("__w").over(before), F.lit(0))).drop("__all")
     if len(levels) == 1:
         return within.select(*keys, *levels, "__off")
-    upper = _bucket_offsets(
+    upper = bucket_offsets(
         sums.groupBy(*keys, *levels[:-1]).agg(F.sum("__w").alias("__w")), keys, levels[:-1]
     ).withColumnRenamed("__off", "__up")
     joined = join_null_safe(within, upper, keys + levels[:-1])
@@ -119,7 +119,7 @@ def running_total(
     keys, names = list(keys), list(levels)
     rows = df.select("*", *[e.alias(n) for n, e in levels.items()]).withColumn("__w", weight)
     sums = rows.groupBy(*keys, *names).agg(F.sum("__w").alias("__w"))
-    offsets = _bucket_offsets(sums, keys, names)
+    offsets = bucket_offsets(sums, keys, names)
     here = W.partitionBy(*keys, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
         join_null_safe(rows, offsets, keys + names)

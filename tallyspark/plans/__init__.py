@@ -8,6 +8,7 @@ MODULES = (
     "operations_queries",
     "review_queries",
     "triage_queries",
+    "source_queries",
 )
 
 for _name in MODULES:
