@@ -11,7 +11,7 @@ from ..functions.rules import INTENTS, TRIAGE_LABELS, triage_label
 from ..functions.stats import ratio
 from ..functions.text import language_tag, sheet_safe
 from . import checks
-from .conversations import history_text
+from .conversations import customer_messages, history_text, with_history
 from .distributed import first_n_per_group
 
 # --- fixed values: quotas, headers, review states ---------------------------------------------
@@ -93,14 +93,14 @@ def with_evaluation_ids(sample: DataFrame, seed: int = EVALUATION_SEED) -> DataF
 
 
 def prepare(
-    messages: DataFrame, classified: DataFrame, configuration_hash: str, quotas: Quotas = QUOTAS,
+    turns: DataFrame, classified: DataFrame, configuration_hash: str, quotas: Quotas = QUOTAS,
     seed: int = EVALUATION_SEED, check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(blinded review queue, manifest). Predictions appear in the manifest alone.
 
-    ``messages`` carries platform, text and history; the text is joined to the sample,
-    not to the population.
+    Text and history are looked up for the sample only, never for the population.
     """
+    messages = customer_messages(turns)
     if check:
         checks.require_none(
             checks.id_set_difference(messages, classified, "message_id"),
@@ -117,10 +117,8 @@ def prepare(
         F.format_string("%.8f", "sampling_weight").alias("sampling_weight"),
         F.lit(configuration_hash).alias("configuration_hash"),
     )
-    context = messages.select("message_id", "platform", "text", "history")
-    review = sample.select(
-        "evaluation_id", "split", "message_id", "conversation_index", "seed_id", "turn_index"
-    ).join(context, "message_id").select(
+    chosen = sample.select("evaluation_id", "split", "message_id").join(messages, "message_id")
+    review = with_history(chosen, turns).select(
         "evaluation_id", "split", "message_id", "conversation_index", "seed_id", "turn_index", "platform",
         language_tag(F.col("text")).alias("language"),
         sheet_safe(history_text(F.col("history"))).alias("available_history"),

@@ -9,6 +9,8 @@ MODULES = (
     "review_queries",
     "triage_queries",
     "source_queries",
+    "listing_queries",
+    "signal_queries",
 )
 
 for _name in MODULES:

@@ -77,14 +77,13 @@ def csv_typed_source(spark, folder):
 @query("json_array_source", """
 SELECT role, count(*) AS turns, sum(length(text))::BIGINT AS chars, max(turn) AS last_ordinal FROM conversations GROUP BY role""")
 def json_array_source(spark, folder):
-    """Each conversation as one array element; files hold one JSON array each."""
+    """Conversations as elements of JSON array files, sixteen to a file."""
     c = table(spark, folder, "conversations")
     nested = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     path = scratch_path(spark, "array")
-    lines = nested.select(F.to_json(F.struct("conv_id", "messages")).alias("line"), (F.col("conv_id") % 64).alias("part"))
-    # One array per bucket of conversations, i.e. one JSON array file per bucket.
+    lines = nested.select(F.to_json(F.struct("conv_id", "messages")).alias("line"), F.floor(F.col("conv_id") / 16).alias("part"))
     arrays = lines.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("value"))
-    arrays.select("value").repartition(64, "value").write.option("maxRecordsPerFile", 1).text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     records = readers.json_records(spark, path, "*.txt")
     turns = records.select(F.posexplode(F.variant_get("record", "$.messages", "array<struct<role string, text string>>")).alias("ordinal", "m"))
     return turns.groupBy("m.role").agg(

@@ -241,7 +241,7 @@ def request_payload(spark, folder):
 
 RETURNED = f"""
 {TURNS},
-asked AS (SELECT 'r' || (conv_id % 8) AS request_id, message_id, conv_id, turn FROM msgs),
+asked AS (SELECT 'r' || (conv_id // 5) || '-' || (turn // 50) AS request_id, message_id, conv_id, turn FROM msgs),
 answers AS (
   SELECT request_id, message_id FROM asked WHERE (conv_id + turn) % 5 <> 0
   UNION ALL SELECT request_id, message_id FROM asked WHERE (conv_id + turn) % 7 = 0
@@ -256,7 +256,8 @@ verdicts AS (
 def _reconciled(spark, folder):
     """Answers lost, doubled or invented by a rule on the ids."""
     asked = cv.customer_messages(chat_turns(spark, folder)).select(
-        F.concat(F.lit("r"), F.col("conversation_index") % 8).alias("request_id"), "message_id",
+        F.concat(F.lit("r"), F.floor(F.col("conversation_index") / 5), F.lit("-"),
+                 F.floor(F.col("turn_index") / 50)).alias("request_id"), "message_id",
         "conversation_index", "turn_index")
     spot = F.col("conversation_index") + F.col("turn_index")
     reply = [F.lit("complaint").alias("intent"), F.lit(False).alias("is_urgent")]
@@ -293,22 +294,23 @@ def response_anomalies(spark, folder):
 WITH {RETURNED},
 per AS (SELECT request_id, count(*) AS n, count_if(times <> 1) AS missing FROM verdicts WHERE asked GROUP BY request_id),
 pos AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY conv_id, turn) - 1 AS p FROM asked)
-SELECT pos.message_id, pos.request_id || CASE WHEN pos.request_id = 'r3' OR missing = n THEN CASE WHEN p < n // 2 THEN '.a' ELSE '.b' END ELSE '.r' END AS request_id
+SELECT pos.message_id, pos.request_id || CASE WHEN pos.request_id = 'r3-0' OR missing = n THEN CASE WHEN p < n // 2 THEN '.a' ELSE '.b' END ELSE '.r' END AS request_id
 FROM pos JOIN per ON per.request_id = pos.request_id
      JOIN verdicts v ON v.request_id = pos.request_id AND v.message_id = pos.message_id WHERE v.times <> 1""")
 def retry_rounds(spark, folder):
     asked, verdicts = _reconciled(spark, folder)
-    failed = asked.where("request_id = 'r3'").select("request_id").distinct()
+    failed = asked.where("request_id = 'r3-0'").select("request_id").distinct()
     return tr.retry_plan(tr.renumbered(asked), verdicts, failed).select("message_id", "request_id")
 
 
 @query("parse_parallel_arrays", f"""
 WITH {TURNS}
-SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN true ELSE false END AS valid,
-       CASE conv_id % 6 WHEN 0 THEN count(*) ELSE 0 END AS decisions FROM msgs GROUP BY conv_id""")
+SELECT conv_id, turn // 50 AS part, CASE conv_id % 6 WHEN 0 THEN true ELSE false END AS valid,
+       CASE conv_id % 6 WHEN 0 THEN count(*) ELSE 0 END AS decisions FROM msgs GROUP BY conv_id, turn // 50""")
 def parse_parallel_arrays(spark, folder):
-    """One good and five broken response shapes per conversation, by id."""
-    per = cv.customer_messages(chat_turns(spark, folder)).groupBy("conversation_index").agg(
+    """One good and five broken response shapes, chosen by conversation; at most 50 turns each."""
+    part = F.floor(F.col("turn_index") / 50).alias("part")
+    per = cv.customer_messages(chat_turns(spark, folder)).groupBy("conversation_index", part).agg(
         F.sort_array(F.collect_list("message_id")).alias("id"))
     ids = F.to_json("id")
     all_of = lambda v: F.to_json(F.transform("id", lambda _: F.lit(v)))
@@ -321,9 +323,9 @@ def parse_parallel_arrays(spark, folder):
         .when(kind == 2, body(good_i, all_of("false"))).when(kind == 3, body(F.lit("[]"), good_u))
         .when(kind == 4, body(good_i, good_u, ',"z":1')).otherwise(F.substring(body(good_i, good_u), 1, 20))
     )
-    parsed = tr.parse_decisions(per.select("conversation_index", payload.alias("payload")))
+    parsed = tr.parse_decisions(per.select("conversation_index", "part", payload.alias("payload")))
     return parsed.select(
-        F.col("conversation_index").alias("conv_id"), "valid",
+        F.col("conversation_index").alias("conv_id"), "part", "valid",
         F.coalesce(F.size("decisions"), F.lit(0)).cast("long").alias("decisions"))
 
 
@@ -503,8 +505,7 @@ def quota_check(spark, folder):
 
 
 def _prepared(spark, folder):
-    messages = cv.customer_turns(chat_turns(spark, folder))
-    return ev.prepare(messages, _results(spark, folder), "cfg", SMALL_QUOTAS, check=False)
+    return ev.prepare(chat_turns(spark, folder), _results(spark, folder), "cfg", SMALL_QUOTAS, check=False)
 
 
 @query("review_queue", f"""
