@@ -13,20 +13,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# 64 steps per unit of ln(1+|x|): neighbours within 1.6 % share a bucket, and the
-# whole range of a double needs fewer than 91,000 buckets per key.
-_STEPS = 64
+# 4096 steps per unit of ln(1+|x|): values within 0.025 % share a bucket. A key whose
+# values span six orders of magnitude has at most 57,000 buckets to add up.
+_STEPS = 4096
 
 
 def _order_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(_STEPS)).cast("long")
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality over several keys where null matches null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` with null = null; the keys appear once in the result."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
@@ -35,6 +30,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _as_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct. Structs with null fields equal each other, so a plain
+    equi-join keeps the null group, and join, window and aggregate share one shuffle."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per key, exact and skew-proof.
 
@@ -43,22 +44,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     Keys without a single non-null value do not appear. Null keys are kept.
     """
     keys = list(keys)
-    group = keys or ["__all"]
-    base = df.where(F.col(value).isNotNull())
-    if not keys:
-        base = base.withColumn("__all", F.lit(0))
     counts = (
-        base.select(*group, F.col(value).cast("double").alias("__v"))
-        .groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
+        df.where(F.col(value).isNotNull())
+        .select(_as_key(keys).alias("__k"), F.col(value).cast("double").alias("__v"))
+        .groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("__c"))
         .withColumn("__b", _order_bucket(F.col("__v")))
     )
-    per_key = W.partitionBy(*group)
-    buckets = (
-        counts.groupBy(*group, "__b").agg(F.sum("__c").alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(per_key.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("__total", F.sum("__n").over(per_key))
-        .withColumn("__from", F.col("__upto") - F.col("__n"))
-    )
+    per_key = W.partitionBy("__k")
+    upto = F.sum("__n").over(per_key.orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
+    buckets = counts.groupBy("__k", "__b").agg(F.sum("__c").alias("__n")).select(
+        "__k", "__b", (upto - F.col("__n")).alias("__from"), upto.alias("__upto"),
+        F.sum("__n").over(per_key).alias("__total"))
     ranks: dict[str, tuple[Column, Column, Column]] = {}
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("__total") - 1)
@@ -68,38 +64,50 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         return (F.col("__from") <= rank) & (rank < F.col("__upto"))
 
     wanted = reduce(lambda a, b: a | b, [holds(r) for lo, hi, _ in ranks.values() for r in (lo, hi)])
-    chosen = buckets.where(wanted).select(*group, "__b", F.col("__from").alias("__base"), "__total")
-    inside = W.partitionBy(*group, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        join_null_safe(counts, chosen, [*group, "__b"])
-        .withColumn("__upto", F.col("__base") + F.sum("__c").over(inside))
-        .withColumn("__from", F.col("__upto") - F.col("__c"))
-    )
+    chosen = buckets.where(wanted).select("__k", "__b", F.col("__from").alias("__base"), "__total")
+    inside = W.partitionBy("__k", "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    upto = F.col("__base") + F.sum("__c").over(inside)
+    placed = counts.join(chosen, ["__k", "__b"]).select(
+        "__k", "__v", "__total", (upto - F.col("__c")).alias("__from"), upto.alias("__upto"))
     picks = []
     for name, (lo, hi, _) in ranks.items():
         picks.append(F.max(F.when(holds(lo), F.col("__v"))).alias(f"__lo_{name}"))
         picks.append(F.max(F.when(holds(hi), F.col("__v"))).alias(f"__hi_{name}"))
-    result = placed.groupBy(*group).agg(F.max("__total").alias("__total"), *picks)
-    return result.select(*keys, *[
+    result = placed.groupBy("__k").agg(F.max("__total").alias("__total"), *picks)
+    return result.select(*[F.col("__k")[k].alias(k) for k in keys], *[
         (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * frac).alias(name)
         for name, (_, _, frac) in ranks.items()
     ])
 
 
-def bucket_offsets(sums: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """Total weight of all buckets before each bucket; ``sums`` holds ``__w`` per bucket."""
-    parents = keys + levels[:-1]
-    if not parents:
-        sums, parents = sums.withColumn("__all", F.lit(0)), ["__all"]
-    before = W.partitionBy(*parents).orderBy(levels[-1]).rowsBetween(W.unboundedPreceding, -1)
-    within = sums.withColumn("__off", F.coalesce(F.sum("__w").over(before), F.lit(0))).drop("__all")
+HEAVY_KEYS = 1000
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Give every row the columns of its group (one row per key; ``weight`` = rows of the key).
+
+    The heaviest groups are joined by broadcast, and that side has HEAVY_KEYS rows at
+    most, whatever the data. Among the others no key can hold more than a thousandth of
+    all rows, so their shuffle is balanced. ``how`` is inner or left.
+    """
+    extra = [c for c in groups.columns if c != key]
+    heavy = groups.orderBy(F.desc(weight), F.col(key)).limit(HEAVY_KEYS)
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups, key, how)
+    return hot.select(*rows.columns, *extra).unionByName(rest.select(*rows.columns, *extra))
+
+
+def bucket_offsets(sums: DataFrame, key: str, levels: Sequence[str]) -> DataFrame:
+    """(key, levels, __off): the weight of all buckets before each; ``sums`` has ``__w`` per bucket."""
+    levels = list(levels)
+    before = W.partitionBy(key, *levels[:-1]).orderBy(levels[-1]).rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("__w").over(before), F.lit(0))
+    within = sums.select(key, *levels, own.alias("__off"))
     if len(levels) == 1:
-        return within.select(*keys, *levels, "__off")
-    upper = bucket_offsets(
-        sums.groupBy(*keys, *levels[:-1]).agg(F.sum("__w").alias("__w")), keys, levels[:-1]
-    ).withColumnRenamed("__off", "__up")
-    joined = join_null_safe(within, upper, keys + levels[:-1])
-    return joined.select(*keys, *levels, (F.col("__off") + F.col("__up")).alias("__off"))
+        return within
+    above = sums.groupBy(key, *levels[:-1]).agg(F.sum("__w").alias("__w"))
+    upper = bucket_offsets(above, key, levels[:-1]).withColumnRenamed("__off", "__up")
+    return within.join(upper, [key, *levels[:-1]]).select(key, *levels, (F.col("__off") + F.col("__up")).alias("__off"))
 
 
 def running_total(
@@ -116,16 +124,15 @@ def running_total(
     (day, hour, ... or id ranges). No window sees more than one finest bucket of
     rows, or one level's children, so no key is gathered in one task.
     """
-    keys, names = list(keys), list(levels)
-    rows = df.select("*", *[e.alias(n) for n, e in levels.items()]).withColumn("__w", weight)
-    sums = rows.groupBy(*keys, *names).agg(F.sum("__w").alias("__w"))
-    offsets = bucket_offsets(sums, keys, names)
-    here = W.partitionBy(*keys, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        join_null_safe(rows, offsets, keys + names)
-        .withColumn(out, F.col("__off") + F.coalesce(F.sum("__w").over(here), F.lit(0)))
-        .drop("__w", "__off", *names)
-    )
+    names = list(levels)
+    rows = df.select(
+        "*", _as_key(list(keys)).alias("__k"), *[F.struct(e.alias("x")).alias(n) for n, e in levels.items()],
+        weight.alias("__w"))
+    sums = rows.groupBy("__k", *names).agg(F.sum("__w").alias("__w"))
+    offsets = bucket_offsets(sums, "__k", names)
+    here = W.partitionBy("__k", *names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    total = F.col("__off") + F.coalesce(F.sum("__w").over(here), F.lit(0))
+    return rows.join(offsets, ["__k", *names]).select(*df.columns, total.alias(out))
 
 
 def id_levels(column: str, fan_out: int = 4096) -> dict[str, Column]:

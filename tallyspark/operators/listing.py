@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.hashing import stable_key
 from ..functions.stats import ratio
 from ..functions.text import language_tag, nfkc, normalize_text
-from .distributed import exact_quantiles, first_n_per_group, running_total
+from ..session import cut_lineage, spread
+from .distributed import exact_quantiles, first_n_per_group, lookup, running_total
 
 UNKNOWN = "UNKNOWN"
 
@@ -91,18 +92,19 @@ def fuzzy_terms(df: DataFrame, key: str, text: str, terms: Sequence[str], max_di
     changed. Exact occurrences have distance 0.
     """
     spark = df.sparkSession
-    tokens = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
+    tokens = spread(df.select(key, text)).select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
     blocks = spark.createDataFrame(
         [(t, t[0], n) for t in terms for n in range(max(1, len(t) - max_distance), len(t) + max_distance + 1)],
         "term string, initial string, size int")
-    vocabulary = tokens.select("token").distinct().withColumns(
+    vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumns(
         {"initial": F.substring("token", 1, 1), "size": F.length("token")})
     close = (
         vocabulary.join(F.broadcast(blocks), ["initial", "size"])  # as many rows as configured terms
         .withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= max_distance)
-        .select("token", "term", "distance")
-    )
-    return tokens.join(close, "token").select(key, "term", "token", "distance")
+        .groupBy("token").agg(F.max("uses").alias("uses"), F.collect_list(F.struct("term", "distance")).alias("near"))
+    )  # a word is near at most as many terms as there are
+    hits = lookup(tokens, close, "token", "uses").select(key, "token", F.explode("near").alias("n"))
+    return hits.select(key, "n.term", "token", "n.distance")
 
 
 def consistency(left: Column, right: Column) -> Column:
@@ -130,7 +132,7 @@ def injection_flag(text: Column) -> Column:
 def unsupported_facts(description: Column, source: Column) -> Column:
     """Numbers of a description that do not occur in its source, each once, sorted."""
     numbers = lambda c: F.regexp_extract_all(c, F.lit("\\d+(?:\\.\\d+)?"), 0)
-    return F.array_sort(F.array_except(numbers(description), numbers(source)))
+    return F.sort_array(F.array_except(numbers(description), numbers(source)))
 
 
 # --- risk and publication ---------------------------------------------------------------------------
@@ -305,18 +307,23 @@ def reclassify_unknown(
 
 def word_fingerprint(text: Column) -> Column:
     """Hash of the sorted distinct words; case, order, repetition and punctuation vanish."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(words(normalize_text(text)))), " "), 256)
+    return F.sha2(F.array_join(F.sort_array(F.array_distinct(words(normalize_text(text)))), " "), 256)
 
 
 def near_duplicates(listings: DataFrame, key: str, text: str) -> DataFrame:
     """(key, representative, copies): listings with the same words, the smallest id represents.
 
-    Grouping by fingerprint is exact and pre-aggregates, however many copies there are; the
-    representative reaches every copy by a join with one row per fingerprint.
+    Grouping by fingerprint is exact and pre-aggregates, however many copies there are. Only
+    fingerprints with copies are looked up again, the heaviest of them by broadcast.
     """
-    marked = listings.select(key, word_fingerprint(F.col(text)).alias("fingerprint"))
-    groups = marked.groupBy("fingerprint").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("copies"))
-    return marked.join(groups, "fingerprint").select(key, "representative", "copies", "fingerprint")
+    # The texts are read and hashed once; what follows works on the narrow result.
+    marked = cut_lineage(spread(listings.select(key, text)).select(key, word_fingerprint(F.col(text)).alias("fingerprint")))
+    groups = marked.groupBy("fingerprint").agg(
+        F.min(key).alias("representative"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    found = lookup(marked, groups, "fingerprint", "copies", "left")
+    return found.select(
+        key, F.coalesce("representative", key).alias("representative"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "fingerprint")
 
 
 def cluster(vectors: DataFrame, key: str, k: int, seed: int = 17, max_iter: int = 20) -> DataFrame:
@@ -326,13 +333,13 @@ def cluster(vectors: DataFrame, key: str, k: int, seed: int = 17, max_iter: int
 
     data = vectors.select(key, array_to_vector(F.col("vector")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="k-means||").fit(data)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    own = F.element_at(centres, F.col("cluster") + 1)
+    centres = vectors.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
     gap = F.sqrt(F.aggregate(
-        F.zip_with("vector", own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+        F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
     placed = model.setPredictionCol("cluster").transform(
-        vectors.withColumn("features", array_to_vector(F.col("vector")))).drop("features")
-    return placed.withColumn("distance", gap).select(key, "cluster", "distance")
+        vectors.select(key, "vector", array_to_vector(F.col("vector")).alias("features"))).drop("features")
+    return placed.join(F.broadcast(centres), "cluster").select(key, "cluster", gap.alias("distance"))  # k rows
 
 
 def cluster_report(

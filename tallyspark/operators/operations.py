@@ -17,6 +17,7 @@ from ..functions import evidence
 from ..functions.evidence import AnalysisPolicy
 from ..functions.stats import ratio
 from ..functions.text import keyword_signal
+from ..session import cut_lineage
 from . import checks
 from .checks import ContractError
 from .distributed import exact_quantiles, join_null_safe
@@ -300,7 +301,7 @@ def branch_delivery_change(
     policy: AnalysisPolicy = AnalysisPolicy(),
 ) -> DataFrame:
     """Top increases, each row carrying how many branches were eligible and suppressed."""
-    comparison = compare_branches(df, metric, current, previous, policy)
+    comparison = cut_lineage(compare_branches(df, metric, current, previous, policy))
     return largest_increases(comparison, policy.max_results).crossJoin(comparison_counts(comparison))
 
 
@@ -319,14 +320,15 @@ def hotspots(
     floor = policy.min_comparison_orders if dimension in ("branch", "hour") else evidence.SMALL_GROUP_FLOOR
     shown = min(limit or policy.max_results, evidence.RESULT_LIMIT_MAX)
     data = df.where(in_window(window) & F.col(column).isNotNull()).withColumn("group", F.col(column))
-    groups = _daily(data, ["group"], policy).groupBy("group").agg(
+    # One row per group, written once: the ranking, the counts and the medians all start from it.
+    groups = cut_lineage(_daily(data, ["group"], policy).groupBy("group").agg(
         F.sum("orders").alias("orders"),
         F.sum("valid_delivery_duration_minutes").alias("valid_delivery_observations"),
         F.count("day").alias("active_days"),
         F.sum("long_orders").alias("long_delivery_orders"),
         F.sum("late_comment_signals").alias("late_comment_signals"),
         F.sum("comments").alias("comments"),
-    ).withColumn("completeness", F.col("valid_delivery_observations") / F.col("orders"))
+    ).withColumn("completeness", F.col("valid_delivery_observations") / F.col("orders")))
     eligible = groups.where(
         (F.col("valid_delivery_observations") >= floor) & (F.col("completeness") >= policy.min_completeness)
     )
@@ -406,7 +408,7 @@ def watchouts(
             for (s, i, m), v in cells.items()
         ])).alias("r")).select("r.*")
 
-    comparison = compare_branches(df, duration, current, previous, policy)
+    comparison = cut_lineage(compare_branches(df, duration, current, previous, policy))
     rises = as_rows(
         largest_increases(comparison, top),
         {("largest_increases", "branch", m): F.col(m) for m in ("change_minutes", "change_percent")},

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import stats
 from ..functions.evidence import trend_grade
 from ..functions.lexicon import COMPLAINTS, THEMES, Theme, matches_theme, theme_named
-from ..functions.text import has_text, normalize_text
+from ..functions.text import ARABIC_LETTERS, has_text, normalize_text
 from . import checks
 
 PERIODS = ("early", "recent")
@@ -127,7 +127,8 @@ def analysis_window(reviews: DataFrame) -> HalfSplit:
 # --- themes -------------------------------------------------------------------------------
 
 def _prepared(reviews: DataFrame) -> DataFrame:
-    return reviews.withColumn("__norm", normalize_text(F.col("review_text")))
+    normal = reviews.withColumn("__norm", normalize_text(F.col("review_text")))
+    return normal.withColumn("__arabic", F.col("__norm").rlike(ARABIC_LETTERS))
 
 
 def theme_counts(
@@ -142,7 +143,7 @@ def theme_counts(
     early = window.is_early()
     flagged = _prepared(reviews).select(
         *keys, early.alias("__early"), (F.length("__norm") > 0).alias("__text"),
-        *[matches_theme(F.col("__norm"), F.col("stars"), t).alias(f"__t{i}") for i, t in enumerate(themes)],
+        *[matches_theme(F.col("__norm"), F.col("stars"), t, F.col("__arabic")).alias(f"__t{i}") for i, t in enumerate(themes)],
     )
     sides = {PERIODS[0]: F.col("__early"), PERIODS[1]: ~F.col("__early")}
     wide = flagged.groupBy(*keys).agg(
@@ -189,7 +190,7 @@ def theme_evidence(reviews: DataFrame, window: HalfSplit, themes: tuple[Theme, .
     which no single array (and no single task) should hold.
     """
     matched = F.filter(
-        F.array(*[F.when(matches_theme(F.col("__norm"), F.col("stars"), t), F.lit(t.name)) for t in themes]),
+        F.array(*[F.when(matches_theme(F.col("__norm"), F.col("stars"), t, F.col("__arabic")), F.lit(t.name)) for t in themes]),
         lambda x: x.isNotNull(),
     )
     return _prepared(reviews).select(
@@ -226,7 +227,7 @@ def fastest_growing_complaints(trends: DataFrame, complaints: tuple[str, ...] =
 
 def loyalty_evidence(reviews: DataFrame, brands: DataFrame, theme: str = "loyalty_program_mention") -> DataFrame:
     """Mentions split by low and high stars for every brand, also those without any."""
-    hit = matches_theme(F.col("__norm"), F.col("stars"), theme_named(theme))
+    hit = matches_theme(F.col("__norm"), F.col("stars"), theme_named(theme), F.col("__arabic"))
     counted = _prepared(reviews).where(hit).groupBy("brand_name").agg(
         F.count(F.lit(1)).alias("mentions"),
         F.count_if(F.col("stars") <= 3).alias("low_rating_mentions"),

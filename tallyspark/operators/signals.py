@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import stats
 from ..functions.hashing import fingerprint, hash_percent
 from ..functions.text import normalize_text
+from ..session import cut_lineage
+from .distributed import lookup
 from .listing import word_fingerprint, words
 
 THEME_KEYS = ("brand_name", "theme")
@@ -96,28 +99,28 @@ def suspicious_reviews(reviews: DataFrame, policy: SuspicionPolicy = SuspicionPo
     a burst day. extreme_reviewer: more reviews than the limit. concentrated: the branch
     wrote more than the allowed share of its brand.
     """
-    marked = reviews.withColumns({
-        "__words": word_fingerprint(F.col("review_text")), "day": F.to_date("published_at"),
-        "__has": F.length(normalize_text(F.col("review_text"))) > 0})
-    repeated = marked.where("__has").groupBy("__words").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(
-        "__words", F.lit(True).alias("__rep"))
-    extreme = reviews.groupBy("reviewer_id").agg(F.count(F.lit(1)).alias("__n")).where(
-        F.col("__n") > policy.reviewer_max).select("reviewer_id", F.lit(True).alias("__ext"))
-    per_branch = reviews.groupBy("brand_name", "branch_id").agg(F.count(F.lit(1)).alias("__n"))
-    share = F.col("__n") / F.sum("__n").over(W.partitionBy("brand_name"))
-    heavy = per_branch.withColumn("__s", share).where(F.col("__s") > policy.branch_share).select(
-        "brand_name", "branch_id", F.lit(True).alias("__heavy"))
+    # Texts are fingerprinted once and written with the rest; each flag then reads narrow columns.
+    marked = cut_lineage(reviews.withColumns({
+        "__words": F.when(F.length(normalize_text(F.col("review_text"))) > 0, word_fingerprint(F.col("review_text"))),
+        "day": F.to_date("published_at"), "__place": F.concat_ws("\u0000", "brand_name", "branch_id")}))
+    sizes = lambda key: marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"{key}_n"))
+    repeated = sizes("__words").where("__words_n > 1")
+    extreme = sizes("reviewer_id").where(F.col("reviewer_id_n") > policy.reviewer_max)
+    per_branch = marked.groupBy("__place", "brand_name").agg(F.count(F.lit(1)).alias("__place_n"))
+    per_brand = per_branch.groupBy("brand_name").agg(F.sum("__place_n").alias("__total"))
+    heavy = per_branch.join(per_brand, "brand_name").where(
+        F.col("__place_n") / F.col("__total") > policy.branch_share).select("__place", "__place_n")
     burst_days = bursts(reviews, policy).select("brand_name", "day", F.lit(True).alias("__burst"))
-    out = (
-        marked.join(repeated, "__words", "left").join(extreme, "reviewer_id", "left")
-        .join(heavy, ["brand_name", "branch_id"], "left").join(burst_days, ["brand_name", "day"], "left")
-    )
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = marked
+    for key, groups in (("__words", repeated), ("reviewer_id", extreme), ("__place", heavy)):
+        out = lookup(out, groups, key, f"{key}_n", "left")
+    out = out.join(burst_days, ["brand_name", "day"], "left")
     out = out.withColumns({
-        "repeated_wording": flag("__rep") & F.col("__has"), "burst": flag("__burst"),
-        "extreme_reviewer": flag("__ext"), "concentrated": flag("__heavy")})
-    out = out.withColumn("suspicious", F.col("repeated_wording") | F.col("burst") | F.col("extreme_reviewer") | F.col("concentrated"))
-    return out.drop("__words", "__has", "__rep", "__ext", "__heavy", "__burst")
+        "repeated_wording": F.col("__words_n").isNotNull(), "burst": F.col("__burst").isNotNull(),
+        "extreme_reviewer": F.col("reviewer_id_n").isNotNull(), "concentrated": F.col("__place_n").isNotNull()})
+    flags = ("repeated_wording", "burst", "extreme_reviewer", "concentrated")
+    out = out.withColumn("suspicious", reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
+    return out.select(*reviews.columns, "day", *flags, "suspicious")
 
 
 def with_and_without(flagged: DataFrame, keys: Sequence[str], measure: Column) -> DataFrame:
@@ -160,8 +163,8 @@ def branch_outliers(reviews: DataFrame, low_max: int = 3) -> DataFrame:
     per = reviews.groupBy("brand_name", "branch_id").agg(
         F.count(F.lit(1)).alias("reviews"), F.count_if(low).alias("low"),
         F.count_if(F.col("owner_response_text").isNotNull()).alias("responses"))
-    brand = W.partitionBy("brand_name")  # one row per branch
-    per = per.withColumn("brand_low_rate", F.sum("low").over(brand) / F.sum("reviews").over(brand))
+    brand = per.groupBy("brand_name").agg((F.sum("low") / F.sum("reviews")).alias("brand_low_rate"))
+    per = per.join(brand, "brand_name")
     return per.withColumns({
         "low_rate": F.col("low") / F.col("reviews"),
         "low_rate_floor": stats.wilson_low(F.col("low"), F.col("reviews")),

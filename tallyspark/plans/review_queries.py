@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import THEMES
+from ..functions.lexicon import THEMES, Theme
 from ..functions.text import normalize_term
 from ..operators import reviews as rv
 from ..sources.tables import brands_of, document_reviews, event_reviews
@@ -33,8 +33,19 @@ def theme_sql(theme) -> str:
     return f"(({found}) AND stars <= 3)" if theme.low_rating_only else f"({found})"
 
 
-THEME_ROWS = " UNION ALL ".join(
-    f"SELECT *, '{t.name}' AS theme, {i} AS theme_order, {theme_sql(t)} AS hit FROM half" for i, t in enumerate(THEMES))
+def theme_rows(themes) -> str:
+    return " UNION ALL ".join(
+        f"SELECT *, '{t.name}' AS theme, {i} AS theme_order, {theme_sql(t)} AS hit FROM half" for i, t in enumerate(themes))
+
+
+THEME_ROWS = theme_rows(THEMES)
+# The generated texts hardly use review words, so a second lexicon has fragments they do use.
+TEXT_THEMES = (
+    Theme("wait_time_complaint", True, "text fragments", ("thou", "ering")),
+    Theme("service_complaint", True, "text fragments", ("ther", "aient")),
+    Theme("loyalty_program_mention", False, "text fragments", ("onne", "que")),
+)
+
 
 def wilson_sql(m: str, n: str, sign: str) -> str:
     z2 = 1.96 * 1.96
@@ -45,9 +56,10 @@ def wilson_sql(m: str, n: str, sign: str) -> str:
     return f"CASE WHEN {n} = 0 THEN 0.0 ELSE {clamp} END"
 
 
-TREND_CTE = f"""
+def trend_cte(themes) -> str:
+    return f"""
 {DOC_CTE}, {HALVES.format(t='docs')},
-themed AS ({THEME_ROWS}),
+themed AS ({theme_rows(themes)}),
 counts AS (
   SELECT brand, theme, theme_order,
          count_if(period = 'early' AND norm <> '')::BIGINT AS et, count_if(period = 'recent' AND norm <> '')::BIGINT AS rt,
@@ -60,6 +72,10 @@ rates AS (
   FROM counts)"""
 
 
+TREND_CTE = trend_cte(THEMES)
+TEXT_TREND_CTE = trend_cte(TEXT_THEMES)
+
+
 @query("brand_profile", f"""
 WITH {EVENT_CTE}
 SELECT brand AS brand_name, count(*) AS unique_reviews, strftime(min(ts), '%Y-%m-%d') AS first_date,
@@ -109,13 +125,12 @@ def period_rating_trends(spark, folder):
     return rounded(rv.period_rating_trends(r, rv.analysis_window(r)))
 
 
-def _trends(spark, folder):
+def _trends(spark, folder, themes=THEMES):
     r = document_reviews(spark, folder)
-    return r, rv.theme_trends(r, rv.analysis_window(r))
+    return r, rv.theme_trends(r, rv.analysis_window(r), themes)
 
 
-@query("theme_trends", f"""
-WITH {TREND_CTE}
+TREND_SELECT = f"""
 SELECT brand AS brand_name, theme, theme_order, et AS early_text_reviews, rt AS recent_text_reviews,
        em AS early_matches, rm AS recent_matches, round(er, 6) AS early_per_1000, round(rr, 6) AS recent_per_1000,
        round(1000 * ({wilson_sql('em', 'et', '-')}), 6) AS early_ci_low_per_1000,
@@ -124,11 +139,19 @@ SELECT brand AS brand_name, theme, theme_order, et AS early_text_reviews, rt AS
        round(1000 * ({wilson_sql('rm', 'rt', '+')}), 6) AS recent_ci_high_per_1000,
        round(rr - er, 6) AS absolute_change_per_1000,
        round(CASE WHEN er > 0 THEN 100.0 * (rr / er - 1) END, 6) AS relative_change_percent, grade AS evidence_grade
-FROM rates""")
+FROM rates"""
+
+
+@query("theme_trends", f"WITH {TREND_CTE} {TREND_SELECT}")
 def theme_trends(spark, folder):
     return rounded(_trends(spark, folder)[1])
 
 
+@query("theme_trends_text_lexicon", f"WITH {TEXT_TREND_CTE} {TREND_SELECT}")
+def theme_trends_text_lexicon(spark, folder):
+    return rounded(_trends(spark, folder, TEXT_THEMES)[1])
+
+
 @query("theme_evidence", f"""
 WITH {DOC_CTE}, {HALVES.format(t='docs')}, themed AS ({THEME_ROWS})
 SELECT brand AS brand_name, theme, period, review_id FROM themed WHERE hit""")
@@ -151,16 +174,29 @@ def evidence_sample(spark, folder):
 COMPLAINT_LIST = ", ".join(f"'{t.name}'" for t in THEMES if t.low_rating_only)
 
 
-@query("fastest_growing", f"""
-WITH {TREND_CTE},
+FASTEST = f""",
 best AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY rr - er DESC, theme_order) AS r
          FROM rates WHERE grade = 'eligible' AND theme IN ({COMPLAINT_LIST}))
 SELECT b.brand AS brand_name, theme, CASE WHEN theme IS NULL THEN 'No eligible complaint theme' ELSE 'eligible' END AS status,
-       em AS early_matches, rm AS recent_matches, round(er, 6) AS early_per_1000, round(rr, 6) AS recent_per_1000,
+       em::DOUBLE AS early_matches, rm::DOUBLE AS recent_matches, round(er, 6) AS early_per_1000, round(rr, 6) AS recent_per_1000,
        round(rr - er, 6) AS absolute_change_per_1000
-FROM (SELECT DISTINCT brand FROM rates) b LEFT JOIN (SELECT * FROM best WHERE r = 1) w ON b.brand = w.brand""")
+FROM (SELECT DISTINCT brand FROM rates) b LEFT JOIN (SELECT * FROM best WHERE r = 1) w ON b.brand = w.brand"""
+
+
+def _fastest(trends):
+    """Brands without an eligible theme have no counts; doubles say that alike in every engine."""
+    found = rv.fastest_growing_complaints(trends)
+    return rounded(found.withColumns({c: F.col(c).cast("double") for c in ("early_matches", "recent_matches")}))
+
+
+@query("fastest_growing", f"WITH {TREND_CTE} {FASTEST}")
 def fastest_growing(spark, folder):
-    return rounded(rv.fastest_growing_complaints(_trends(spark, folder)[1]))
+    return _fastest(_trends(spark, folder)[1])
+
+
+@query("fastest_growing_text_lexicon", f"WITH {TEXT_TREND_CTE} {FASTEST}")
+def fastest_growing_text_lexicon(spark, folder):
+    return _fastest(_trends(spark, folder, TEXT_THEMES)[1])
 
 
 @query("selected_themes", f"""
@@ -179,11 +215,11 @@ LOYAL = theme_sql(next(t for t in THEMES if t.name == "loyalty_program_mention")
 @query("loyalty_evidence", f"""
 WITH {DOC_CTE}
 SELECT brand AS brand_name, count_if({LOYAL})::BIGINT AS mentions, count_if({LOYAL} AND stars <= 3)::BIGINT AS low_rating_mentions,
-       count_if({LOYAL} AND stars > 3)::BIGINT AS high_rating_mentions, min(CASE WHEN {LOYAL} THEN review_id END) AS first_evidence_id
+       count_if({LOYAL} AND stars > 3)::BIGINT AS high_rating_mentions, coalesce(min(CASE WHEN {LOYAL} THEN review_id END), -1) AS first_evidence_id
 FROM docs GROUP BY brand""")
 def loyalty_evidence(spark, folder):
     r = document_reviews(spark, folder)
-    return rv.loyalty_evidence(r, brands_of(r))
+    return rv.loyalty_evidence(r, brands_of(r)).fillna(-1, ["first_evidence_id"])
 
 
 @query("repeat_visit_by_stars", f"""
@@ -191,11 +227,11 @@ WITH {DOC_CTE}
 SELECT brand AS brand_name, count_if({theme_sql(THEMES[7])})::BIGINT AS mentions,
        count_if({theme_sql(THEMES[7])} AND stars <= 3)::BIGINT AS low_rating_mentions,
        count_if({theme_sql(THEMES[7])} AND stars > 3)::BIGINT AS high_rating_mentions,
-       min(CASE WHEN {theme_sql(THEMES[7])} THEN review_id END) AS first_evidence_id
+       coalesce(min(CASE WHEN {theme_sql(THEMES[7])} THEN review_id END), -1) AS first_evidence_id
 FROM docs GROUP BY brand""")
 def repeat_visit_by_stars(spark, folder):
     r = document_reviews(spark, folder)
-    return rv.loyalty_evidence(r, brands_of(r), "repeat_visit_language")
+    return rv.loyalty_evidence(r, brands_of(r), "repeat_visit_language").fillna(-1, ["first_evidence_id"])
 
 
 @query("trend_vs_rating", f"""

@@ -9,7 +9,7 @@ from ..operators import reviews as rv, signals as sg
 from ..sources.tables import document_reviews, event_reviews, table
 from .display import rounded
 from .registry import query
-from .review_queries import DOC_CTE, EVENT_CTE, HALVES, TREND_CTE
+from .review_queries import DOC_CTE, EVENT_CTE, HALVES, TEXT_THEMES, TEXT_TREND_CTE
 
 # Events as theme evidence: the type is the brand, a low-valued event is a mention.
 MENTIONS = f"{EVENT_CTE}, m AS (SELECT *, 'low' AS theme FROM ev WHERE stars <= 1)"
@@ -136,14 +136,14 @@ def confidence_label(spark, folder):
     return sg.confidence_label(sg.concentration(m), sg.persistence(m)).select("brand_name", "theme", "confidence", "method_version")
 
 
-CLAIM = f"""{TREND_CTE},
+CLAIM = f"""{TEXT_TREND_CTE},
 claim AS (SELECT 'CLM-' || upper(theme) || '-' || upper(brand) AS claim_id, brand, theme, grade, rr - er AS change, em, rm, et, rt,
                  CASE WHEN rr - er > 0 THEN 'up' WHEN rr - er < 0 THEN 'down' ELSE 'flat' END AS direction FROM rates)"""
 
 
 def _claims(spark, folder):
     r = document_reviews(spark, folder)
-    return sg.claims(rv.theme_trends(r, rv.analysis_window(r)), "lexicon-v1")
+    return sg.claims(rv.theme_trends(r, rv.analysis_window(r), TEXT_THEMES), "lexicon-v1")
 
 
 @query("claims", f"""

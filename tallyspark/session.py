@@ -54,6 +54,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{os.urandom(8).hex()}"
 
 
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small input all cores.
+
+    A file of one row group is one task, however many cores wait. Inputs above the limit
+    have splits enough and are returned as they are, so no large table is ever shuffled
+    for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if cores > 1 and size < SMALL_INPUT_BYTES else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

@@ -31,7 +31,7 @@ def json_records(spark: SparkSession, folder: str, pattern: str = "*.json", line
         F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"), "record")
     blocks = rows.groupBy("source_file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__w"))
-    offsets = bucket_offsets(blocks.drop("__first"), ["source_file"], ["__block"])
+    offsets = bucket_offsets(blocks.drop("__first"), "source_file", ["__block"])
     starts = blocks.join(offsets, ["source_file", "__block"]).select("source_file", "__block", "__first", "__off")
     return rows.join(starts, ["source_file", "__block"]).select(
         "source_file", (F.col("__id") - F.col("__first") + F.col("__off")).alias("source_ordinal"), "record")

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import pin_utc
+from ..session import pin_utc, spread
+
+_SCHEMAS: dict[str, object] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table; zone-less times become timestamps of the (UTC) session once."""
-    df = pin_utc(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = pin_utc(spark).read
+    if path in _SCHEMAS:  # footers are read once per table and process
+        reader = reader.schema(_SCHEMAS[path])
+    df = reader.parquet(path)
+    _SCHEMAS.setdefault(path, df.schema)
     ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
@@ -25,7 +32,7 @@ def order_facts(spark: SparkSession, folder: str) -> DataFrame:
     supplier, rider = customer; trip times, ratings and comments follow from the
     line's quantity, tax, discount and flags.
     """
-    line, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    line, orders = spread(table(spark, folder, "lineitem")), table(spark, folder, "orders")
     supplier, nation = table(spark, folder, "supplier"), table(spark, folder, "nation")
     joined = (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
@@ -91,7 +98,7 @@ def event_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Text reviews: brand = source, stars from the quality label (3 where there is none)."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    docs, labels = spread(table(spark, folder, "documents")), table(spark, folder, "labels")
     stars = F.when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 5).otherwise(3)
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("review_id"),
