@@ -11,6 +11,7 @@ MODULES = (
     "source_queries",
     "listing_queries",
     "signal_queries",
+    "stream_queries",
 )
 
 for _name in MODULES:

@@ -1,0 +1 @@
+"""Structured Streaming forms of the triage, history, session and monitoring operators."""
