@@ -135,13 +135,12 @@ def running_total(
     return rows.join(offsets, ["__k", *names]).select(*df.columns, total.alias(out))
 
 
-def id_levels(column: str, fan_out: int = 4096) -> dict[str, Column]:
-    """Bucket levels for a dense integer id: at most ``fan_out`` children per bucket."""
-    c = F.col(column)
-    return {
-        f"__{column}_hi": F.floor(c / (fan_out * fan_out)).cast("long"),
-        f"__{column}_mid": F.floor(c / fan_out).cast("long"),
-    }
+def id_levels(column: str, fan_out: int = 1 << 20) -> dict[str, Column]:
+    """Bucket level for a dense integer id: ``fan_out`` ids per bucket.
+
+    A trillion ids make a million buckets, so both levels stay small for one task.
+    """
+    return {f"__{column}_range": F.floor(F.col(column) / fan_out).cast("long")}
 
 
 def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -438,6 +438,26 @@ def _next_requests(items: DataFrame, turns: DataFrame, committed: Decimal, confi
     return cut_lineage(requests.withColumn("__fits", fits).where("__fits").drop("__fits"))
 
 
+def _settle(responses: DataFrame, billed: DataFrame, requests: DataFrame) -> Decimal:
+    """Money spent by a round; one pass refuses bad usage, overspending and bad output."""
+    joined = billed.join(requests.select("request_id", "reserved_usd"), "request_id").join(
+        responses.select("request_id", "valid", "finish_reason"), "request_id")
+    cut_off = F.coalesce(F.col("finish_reason").contains("MAX_TOKENS"), F.lit(False))
+    state = joined.agg(
+        F.count_if(~F.col("usage_valid")).alias("bad_usage"),
+        F.count_if(F.col("actual_usd") > F.col("reserved_usd")).alias("over"),
+        F.count_if(~F.col("valid") & ~cut_off).alias("bad_output"),
+        F.coalesce(F.sum("actual_usd"), F.lit(0)).cast("decimal(18,6)").alias("spent"),
+    ).first()
+    for count, message in (
+        (state.bad_usage, "invalid usage metadata"), (state.over, "usage exceeded its reservation"),
+        (state.bad_output, "invalid structured output"),
+    ):
+        if count:
+            raise checks.ContractError(f"{message} in {count} responses")
+    return state.spent
+
+
 def run(
     turns: DataFrame, scorer: Scorer, config: TriageConfig = TriageConfig(), done: DataFrame | None = None,
     stop_at_cap: bool = False,
@@ -486,17 +506,12 @@ def run(
         scored.write.mode("errorifexists").parquet(path)
         responses = parse_decisions(spark.read.schema(RESPONSE_SCHEMA).parquet(path))
         billed = usage(responses, config.pricing)
-        checks.require_none(billed.where(~F.col("usage_valid")), "invalid usage metadata")
-        reserved = ledger_rows(requests, "reserved", config.pricing.model)
-        completed = ledger_rows(billed, "completed", config.pricing.model)
-        checks.require_none(over_reservation(reserved.unionByName(completed)), "usage exceeded its reservation")
-        ledger_parts += [reserved, completed]
-        committed += billed.agg(F.sum("actual_usd")).first()[0] or Decimal(0)
-
         failed = responses.where(~F.col("valid"))
-        checks.require_none(
-            failed.where(~F.coalesce(F.col("finish_reason").contains("MAX_TOKENS"), F.lit(False))).select("request_id"),
-            "invalid structured output")
+        committed += _settle(responses, billed, requests)
+        ledger_parts += [
+            ledger_rows(requests, "reserved", config.pricing.model),
+            ledger_rows(billed, "completed", config.pricing.model),
+        ]
         returned = responses.where("valid").select("request_id", F.explode("decisions").alias("d")).select(
             "request_id", "d.*")
         verdicts = cut_lineage(reconcile(asked, returned))
@@ -504,11 +519,12 @@ def run(
             anomalies(verdicts.join(failed.select("request_id"), "request_id", "left_anti")), "response_anomaly"))
         accepted = verdicts.where("verdict = 'accepted'").select("request_id", "message_id", "intent", "is_urgent")
         parts.append(classified(asked.join(accepted, ["request_id", "message_id"]), MODEL_SOURCE, MODEL_BAND))
-        again = retry_plan(asked, verdicts, failed)
-        checks.require_none(
-            again.where("halved and parent_size = 1").select("message_id"), "the only requested id never came back")
         later = items.join(requests.select("request_id"), "request_id", "left_anti")
-        items = cut_lineage(renumbered(again.drop("parent_size", "halved")).unionByName(later))
+        again = renumbered(retry_plan(asked, verdicts, failed))
+        following = cut_lineage(again.unionByName(later, allowMissingColumns=True))
+        checks.require_none(
+            following.where("halved and parent_size = 1").select("message_id"), "the only requested id never came back")
+        items = following.drop("parent_size", "halved")
 
     results = cut_lineage(reduce(DataFrame.unionByName, [p.select(*RESULT_COLUMNS) for p in parts]))
     if left_open is None:

@@ -81,12 +81,13 @@ def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with header as string columns; a byte order mark before the header is dropped."""
+    """A CSV with header as string columns, empty where nothing is written; a byte order
+    mark before the header is dropped."""
     df = (
         spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True)
-        .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+        .option("escape", '"').csv(path)
     )
-    return df.toDF(*[c.lstrip(BOM) for c in df.columns])
+    return df.toDF(*[c.lstrip(BOM) for c in df.columns]).fillna("")
 
 
 def csv_typed(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None) -> DataFrame:

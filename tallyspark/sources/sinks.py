@@ -22,8 +22,8 @@ def write_csv(df: DataFrame, path: str, headers: Sequence[str], bom: bool = True
     out = df.select(*headers)
     if bom:  # the header is the first line of each part file, so its first name carries the mark
         out = out.withColumnRenamed(headers[0], BOM + headers[0])
-    out.write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).option(
-        "emptyValue", "").csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    out.write.mode("errorifexists").options(header=True, escape='"', **keep).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
