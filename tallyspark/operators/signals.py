@@ -93,16 +93,17 @@ def bursts(reviews: DataFrame, policy: SuspicionPolicy = SuspicionPolicy()) -> D
 
 
 def suspicious_reviews(reviews: DataFrame, policy: SuspicionPolicy = SuspicionPolicy()) -> DataFrame:
-    """Reviews with suspicion flags; nothing is called fraudulent and nothing is dropped.
+    """All reviews with suspicion flags, without their text; nothing is called fraudulent.
 
     repeated_wording: the same non-empty word set occurs more than once. burst: written on
     a burst day. extreme_reviewer: more reviews than the limit. concentrated: the branch
     wrote more than the allowed share of its brand.
     """
-    # Texts are fingerprinted once and written with the rest; each flag then reads narrow columns.
+    # Texts are fingerprinted once; what is written and joined from here on is narrow.
+    kept = [c for c in reviews.columns if c != "review_text"]
     marked = cut_lineage(reviews.withColumns({
         "__words": F.when(F.length(normalize_text(F.col("review_text"))) > 0, word_fingerprint(F.col("review_text"))),
-        "day": F.to_date("published_at"), "__place": F.concat_ws("\u0000", "brand_name", "branch_id")}))
+        "day": F.to_date("published_at"), "__place": F.concat_ws("\u0000", "brand_name", "branch_id")}).drop("review_text"))
     sizes = lambda key: marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"{key}_n"))
     repeated = sizes("__words").where("__words_n > 1")
     extreme = sizes("reviewer_id").where(F.col("reviewer_id_n") > policy.reviewer_max)
@@ -120,7 +121,7 @@ def suspicious_reviews(reviews: DataFrame, policy: SuspicionPolicy = SuspicionPo
         "extreme_reviewer": F.col("reviewer_id_n").isNotNull(), "concentrated": F.col("__place_n").isNotNull()})
     flags = ("repeated_wording", "burst", "extreme_reviewer", "concentrated")
     out = out.withColumn("suspicious", reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
-    return out.select(*reviews.columns, "day", *flags, "suspicious")
+    return out.select(*kept, "day", *flags, "suspicious")
 
 
 def with_and_without(flagged: DataFrame, keys: Sequence[str], measure: Column) -> DataFrame:

@@ -16,12 +16,22 @@ from .registry import query
 from .triage_queries import GATE, LABEL, TEXT_RULES, TURNS
 
 
-def _through_files(spark, df, name, transform, partitions=3):
-    """Lands a frame as files, streams them batch by batch, and returns what the sink holds."""
-    landing, sink = scratch_path(spark, f"{name}-in"), scratch_path(spark, f"{name}-out")
-    df.repartitionByRange(partitions, *df.columns[:1]).write.parquet(landing)
-    stream = transform(read_files(spark, landing, df.schema, files_per_batch=1))
-    append_available(stream, sink, scratch_path(spark, f"{name}-state"))
+SLICES = 3
+
+
+def _through_files(spark, df, name, transform):
+    """Lands a frame in time slices, runs the stream after each, and returns what the sink holds.
+
+    The first column is the order of arrival. Every run continues from the checkpoint.
+    """
+    landing, sink, state = (scratch_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    place = F.col(df.columns[0]).cast("double")
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    slice_no = F.least(F.lit(SLICES - 1), F.floor((place - low) / (high - low + 1) * SLICES))
+    for n in range(SLICES):
+        df.where(slice_no == n).write.mode("append").parquet(landing)
+        stream = transform(read_files(spark, landing, df.schema))
+        append_available(stream, sink, state)
     return spark.read.schema(stream.schema).parquet(sink)
 
 
