@@ -335,20 +335,21 @@ def hotspots(
     ranked = eligible.withColumn(
         "long_delivery_rate", F.col("long_delivery_orders") / F.col("valid_delivery_observations")
     ).orderBy(F.desc("long_delivery_rate"), F.desc("long_delivery_orders"), F.asc("group")).limit(shown)
-    # ``ranked`` has at most RESULT_LIMIT_MAX rows by the limit above: safe to broadcast.
+    # At most RESULT_LIMIT_MAX rows come to the driver; as literals their groups reach the scan.
+    top, fit = ranked.collect(), eligible.count()
     medians = exact_quantiles(
-        data.join(F.broadcast(ranked.select("group")), "group", "left_semi"),
+        data.where(F.col(column).isin([r["group"] for r in top])),
         ["group"], "delivery_duration_minutes", {"median_delivery_minutes": 0.5},
     )
-    counts = eligible.agg(F.count(F.lit(1)).alias("eligible_groups"))
-    return ranked.join(medians, "group", "left").crossJoin(counts).select(
+    ranked = df.sparkSession.createDataFrame(top, ranked.schema)
+    return ranked.join(medians, "group", "left").select(
         F.lit(window.label).alias("period"), F.lit(dimension).alias("dimension"),
         F.col("group").cast("string").alias("group"), "orders", "valid_delivery_observations", "active_days",
         "long_delivery_orders", "median_delivery_minutes", "late_comment_signals", "comments", "completeness",
         "long_delivery_rate",
         evidence.strength(F.col("valid_delivery_observations"), F.col("active_days"), F.col("completeness"), policy)
         .alias("evidence_strength"),
-        "eligible_groups",
+        F.lit(fit).cast("long").alias("eligible_groups"),
     )
 
 
