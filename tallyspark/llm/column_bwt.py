@@ -38,7 +38,7 @@ class RepeatPolicy:
     """``length`` is the contract; the rest shapes the work: window of an anchor, segments of a bucket, of one anchor."""
 
     length: int = 200
-    gram: int = 64
+    gram: int = 96
     bucket_segments: int = 3_000
     anchor_segments: int = 1_500
     block_bytes: int = 1 << 20
