@@ -262,7 +262,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     alive = classes.join(seen, "cid").where(
         F.col("whole") | (F.size("head") - F.col("n_met") <= F.col("p")))
     alive = written(alive.select("cid", "digest", "first_id", "n", "p", "whole", F.size("head").alias("h")), "ngram-alive")
-    met = written(met.join(alive.select("cid", "h", "p", "whole", "n"), "cid"), "ngram-met")
+    met = written(met.join(alive.select("cid"), "cid", "left_semi"), "ngram-met")
 
     # Step 1: the forest of best sharers.
     least = met.groupBy("gram").agg(F.min("cid").alias("hub"))
@@ -300,23 +300,34 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
         placed.select("component", F.explode(every).alias("block"), "digest", "text").groupBy("component", "block")
         .applyInPandas(block_links, "a binary, b binary"), "ngram-links")
 
-    # Step 2: what still shares postings across components.
+    # Step 2: what still shares postings across components. ``r`` is what a link forces a class to share with its partner:
+    # all but p of its head; of a whole set (negative) that holds only if the partner posts its whole set too.
     label = connected_components(near)
-    tagged = met.join(alive.select("cid", "digest"), "cid").join(label.withColumnRenamed("node", "digest"), "digest", "left")
-    tagged = written(tagged.select("gram", "digest", "n", "p", "h", "whole", F.coalesce("component", "digest").alias("part")), "ngram-tagged")
+    part = F.conv(F.substring(F.hex(F.coalesce("component", "digest")), 1, 16), 16, -10).cast("long")
+    force = (F.col("h") - F.col("p")) * F.when(F.col("whole"), -1).otherwise(1)
+    facts = alive.join(label.withColumnRenamed("node", "digest"), "digest", "left").select(
+        "cid", part.alias("part"), "n", force.alias("r"))
+    tagged = met.join(facts, "cid")
+    for _ in range(2):
+        # A class goes if fewer of its postings than a link forces are shared outside its component. Twice, since those
+        # that went leave others alone.
+        mixed = tagged.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gram")
+        tagged = written(tagged.join(mixed, "gram", "left_semi"), "ngram-mixed")
+        enough = tagged.groupBy("cid").agg(F.count("*").alias("k"), F.first("r").alias("r")).where("r < 0 or k >= r").select("cid")
+        tagged = written(tagged.join(enough, "cid", "left_semi"), "ngram-tagged")
     sizes = tagged.groupBy("gram", "part").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("largest")).where("parts > 1")
     mixed = tagged.join(largest.select("gram", "largest"), "gram")
-    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "p", "h", "whole", "part")], (F.col("part") == F.col("largest")).alias("big"))
-    left = mixed.where("part <> largest").select("gram", "digest", "n", "p", "h", "whole", "part")
+    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "r", "part")], (F.col("part") == F.col("largest")).alias("big"))
+    left = mixed.where("part <> largest").select("gram", "cid", "n", "r", "part")
     pairs = left.join(right, "gram").where(
-        "part <> part2 and (big or digest < digest2) and 100 * least(n, n2) >= {0} * greatest(n, n2)".format(policy.percent))
-    one = F.least("digest", "digest2")
-    pairs = pairs.groupBy(one.alias("a"), F.greatest("digest", "digest2").alias("b")).agg(
-        F.count("*").alias("common"),
-        F.first(F.when(F.col("whole") == F.col("whole2"), F.greatest(F.col("h") - F.col("p"), F.col("h2") - F.col("p2")))
-                .otherwise(F.when(F.col("whole"), F.col("h2") - F.col("p2")).otherwise(F.col("h") - F.col("p")))).alias("least_common"))
-    pairs = pairs.where("common >= least_common").select("a", "b")
+        f"part <> part2 and (big or cid < cid2) and 100 * least(n, n2) >= {policy.percent} * greatest(n, n2)")
+    forced = F.when((F.col("r") < 0) == (F.col("r2") < 0), F.greatest(F.abs("r"), F.abs("r2"))).otherwise(F.greatest("r", "r2"))
+    pairs = pairs.groupBy(F.least("cid", "cid2").alias("c1"), F.greatest("cid", "cid2").alias("c2")).agg(
+        F.count("*").alias("common"), F.first(forced).alias("forced")).where("common >= forced")
+    name = alive.select("cid", "digest")
+    pairs = pairs.join(name.select(F.col("cid").alias("c1"), F.col("digest").alias("a")), "c1").join(
+        name.select(F.col("cid").alias("c2"), F.col("digest").alias("b")), "c2").select("a", "b")
     texts = bodies.select("digest", "text")
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("t1")), "a").join(
         texts.select(F.col("digest").alias("b"), F.col("text").alias("t2")), "b")
