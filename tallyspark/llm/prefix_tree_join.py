@@ -12,8 +12,8 @@ else has can have no partner and leaves. What is left joins in two steps:
    brought together in blocks of bounded text. In a block the whole sets are stored in a trie and each path is followed once
    with a vector of partial overlaps with all other sets; sets with a common start share that part of the walk, and a
    subtree is left when no set can reach its needed overlap in the length that remains.
-2. Pairs of different components that still share postings are counted (pairs inside the largest component of a posting are
-   never formed), those whose count reaches the overlap that a link forces on the heads are compared exactly.
+2. Pairs of different components and blocks that still share postings are counted (pairs inside the largest block of a
+   posting are never formed), those whose count reaches the overlap that a link forces on the heads are compared exactly.
 
 Every link between different texts lies inside a component or is found in step 2, so components are exact.
 
@@ -306,22 +306,27 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     part = F.conv(F.substring(F.hex(F.coalesce("component", "digest")), 1, 16), 16, -10).cast("long")
     force = (F.col("h") - F.col("p")) * F.when(F.col("whole"), -1).otherwise(1)
     facts = alive.join(label.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "cid", part.alias("part"), "n", force.alias("r"))
+        "cid", part.alias("comp"), "n", force.alias("r"))
+    # A block has compared all its pairs, so only pairs of different blocks and different components are left.
+    block = placed.select("cid", F.xxhash64("component", F.get(every, F.lit(0))).alias("block"))
+    facts = facts.join(block, "cid", "left").select("cid", "comp", "n", "r", F.coalesce("block", "cid").alias("part"))
     tagged = met.join(facts, "cid")
     for _ in range(2):
         # A class goes if fewer of its postings than a link forces are shared outside its component. Twice, since those
         # that went leave others alone.
-        mixed = tagged.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gram")
+        mixed = tagged.groupBy("gram").agg(
+            *[f(c).alias(f"{c}_{n}") for c in ("part", "comp") for n, f in (("lo", F.min), ("hi", F.max))]).where(
+            "part_lo < part_hi and comp_lo < comp_hi").select("gram")
         tagged = written(tagged.join(mixed, "gram", "left_semi"), "ngram-mixed")
         enough = tagged.groupBy("cid").agg(F.count("*").alias("k"), F.first("r").alias("r")).where("r < 0 or k >= r").select("cid")
         tagged = written(tagged.join(enough, "cid", "left_semi"), "ngram-tagged")
     sizes = tagged.groupBy("gram", "part").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("largest")).where("parts > 1")
     mixed = tagged.join(largest.select("gram", "largest"), "gram")
-    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "r", "part")], (F.col("part") == F.col("largest")).alias("big"))
-    left = mixed.where("part <> largest").select("gram", "cid", "n", "r", "part")
+    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "r", "part", "comp")], (F.col("part") == F.col("largest")).alias("big"))
+    left = mixed.where("part <> largest").select("gram", "cid", "n", "r", "part", "comp")
     pairs = left.join(right, "gram").where(
-        f"part <> part2 and (big or cid < cid2) and 100 * least(n, n2) >= {policy.percent} * greatest(n, n2)")
+        f"part <> part2 and comp <> comp2 and (big or cid < cid2) and 100 * least(n, n2) >= {policy.percent} * greatest(n, n2)")
     forced = F.when((F.col("r") < 0) == (F.col("r2") < 0), F.greatest(F.abs("r"), F.abs("r2"))).otherwise(F.greatest("r", "r2"))
     pairs = pairs.groupBy(F.least("cid", "cid2").alias("c1"), F.greatest("cid", "cid2").alias("c2")).agg(
         F.count("*").alias("common"), F.first(forced).alias("forced")).where("common >= forced")
