@@ -161,7 +161,7 @@ def repeated_starts(parts: list[np.ndarray], anchors: list[int], at: list[int],
         b = min(a + step, len(string) - 1)
         near = np.flatnonzero(group[a:b] == group[a + 1:b + 1]) + a
         # Most neighbours differ early: compare a few bytes first, then the rest of what is left.
-        for lo, hi in ((0, 8), (8, 64), (64, length)):
+        for lo, hi in ((0, min(8, length)), (8, min(64, length)), (64, length)):
             if not len(near):
                 break
             span = np.arange(lo, hi)
