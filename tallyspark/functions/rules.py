@@ -72,8 +72,8 @@ DEFAULT_RULES = RuleSet(
 
 
 def _found(text: Column, pattern: str) -> Column:
-    # i: ignore case, u: also beyond ASCII, U: Unicode \b, \s and \w.
-    return text.rlike(f"(?iuU){pattern}")
+    # i: ignore case, u: also beyond ASCII, U: Unicode \b, \s and \w, d: only a line feed ends a line.
+    return text.rlike(f"(?iduU){pattern}")
 
 
 def rule_gate(text: Column, rules: RuleSet = DEFAULT_RULES) -> Column:

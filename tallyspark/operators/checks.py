@@ -41,9 +41,18 @@ def invalid_timestamps(df: DataFrame, column: str) -> DataFrame:
     return df.where(as_timestamp(df, column).isNull())
 
 
+ISO_FORM = (r"^\d{4}(?:-\d{2}-\d{2}|\d{4})(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?"
+            r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+
+
 def invalid_iso8601(df: DataFrame, column: str, nullable: bool = False) -> DataFrame:
-    """Rows whose ISO-8601 text is not a time; null is allowed only where said."""
-    bad = F.try_to_timestamp(F.col(column)).isNull()
+    """Rows whose ISO-8601 text is not a time; null is allowed only where said.
+
+    The form is matched first (a whole date, with or without hyphens, and perhaps a time and an offset), since Spark's own
+    parser also takes years, months, single digits and times alone. Then the values are parsed.
+    """
+    text = F.regexp_replace(F.col(column), r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    bad = ~F.coalesce(F.col(column).rlike(ISO_FORM), F.lit(False)) | F.try_to_timestamp(text).isNull()
     if nullable:
         bad = bad & F.col(column).isNotNull()
     return df.where(bad)

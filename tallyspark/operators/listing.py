@@ -87,19 +87,18 @@ def reason_codes(text: Column, rules: Mapping[str, str]) -> Column:
 def fuzzy_terms(df: DataFrame, key: str, text: str, terms: Sequence[str], max_distance: int = 1) -> DataFrame:
     """(key, term, token, distance) for tokens within an edit distance of a watched term.
 
-    Distances are computed once per distinct word of the vocabulary. Words and terms meet
-    by first letter and length, so a watched term is missed only if its first letter was
-    changed. Exact occurrences have distance 0.
+    Distances are computed once per distinct word of the vocabulary. Words and terms meet by
+    length, which an edit changes by one at most, so no watched term is missed. Exact
+    occurrences have distance 0.
     """
     spark = df.sparkSession
     tokens = spread(df.select(key, text)).select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
     blocks = spark.createDataFrame(
-        [(t, t[0], n) for t in terms for n in range(max(1, len(t) - max_distance), len(t) + max_distance + 1)],
-        "term string, initial string, size int")
-    vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumns(
-        {"initial": F.substring("token", 1, 1), "size": F.length("token")})
+        [(t, n) for t in terms for n in range(max(1, len(t) - max_distance), len(t) + max_distance + 1)],
+        "term string, size int")
+    vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumn("size", F.length("token"))
     close = (
-        vocabulary.join(F.broadcast(blocks), ["initial", "size"])  # as many rows as configured terms
+        vocabulary.join(F.broadcast(blocks), "size")  # as many rows as configured terms
         .withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= max_distance)
         .groupBy("token").agg(F.max("uses").alias("uses"), F.collect_list(F.struct("term", "distance")).alias("near"))
     )  # a word is near at most as many terms as there are

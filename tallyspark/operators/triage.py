@@ -483,7 +483,7 @@ def run(
 
     waiting = number_batches(gated.where(F.col("gate").isNull()).drop("gate"), config.batch_size)
     items = cut_lineage(waiting.select(
-        F.concat(F.lit("req-"), F.lpad(F.col("batch").cast("string"), 9, "0")).alias("request_id"),
+        F.format_string("req-%09d", F.col("batch").cast("long")).alias("request_id"),  # never cut, however large
         (F.col("position") % config.batch_size).cast("int").alias("position_in_request"),
         "message_id", "conversation_index", "seed_id", "turn_index", "text",
     ))

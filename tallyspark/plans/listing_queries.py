@@ -67,7 +67,7 @@ TERMS = ("widget", "gear", "bolts")
 WITH tok AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) AS token FROM part),
 terms(term) AS (VALUES ('widget'), ('gear'), ('bolts'))
 SELECT p_partkey, term, token, levenshtein(token, term)::INT AS distance FROM tok, terms
-WHERE left(token, 1) = left(term, 1) AND levenshtein(token, term) <= 1""")
+WHERE token <> '' AND levenshtein(token, term) <= 1""")
 def fuzzy_terms(spark, folder):
     return ls.fuzzy_terms(table(spark, folder, "part"), "p_partkey", "p_name", TERMS, 1)
 

@@ -41,9 +41,9 @@ def theme_rows(themes) -> str:
 THEME_ROWS = theme_rows(THEMES)
 # The generated texts hardly use review words, so a second lexicon has fragments they do use.
 TEXT_THEMES = (
-    Theme("wait_time_complaint", True, "text fragments", ("thou", "ering")),
-    Theme("service_complaint", True, "text fragments", ("ther", "aient")),
-    Theme("loyalty_program_mention", False, "text fragments", ("onne", "que")),
+    Theme("wait_time_complaint", True, ("thou", "ering")),
+    Theme("service_complaint", True, ("ther", "aient")),
+    Theme("loyalty_program_mention", False, ("onne", "que")),
 )
 
 

@@ -407,9 +407,15 @@ def bad_timestamps(spark, folder):
     return checks.invalid_timestamps(_clock_text(table(spark, folder, "events")), "at").select("event_id")
 
 
-@query("iso_validity", "SELECT event_id FROM events WHERE event_id % 9 <> 0 AND event_id % 8 = 0")
+@query("iso_validity", """
+SELECT event_id FROM events WHERE event_id % 9 <> 0 AND (event_id % 8 = 0 OR event_id % 7 IN (1, 2, 3, 4))""")
 def iso_validity(spark, folder):
-    return checks.invalid_iso8601(_clock_text(table(spark, folder, "events")), "at", nullable=True).select("event_id")
+    rows = _clock_text(table(spark, folder, "events"))
+    # Shapes that are no ISO-8601 time, and one (without hyphens) that is.
+    forms = F.when(F.col("event_id") % 8 == 0, F.col("at"))
+    for rest, form in ((1, "2026"), (2, "2026-07"), (3, "2026-7-1"), (4, "T10:00"), (5, "20260701")):
+        forms = forms.when(F.col("at").isNotNull() & (F.col("event_id") % 7 == rest), F.lit(form))
+    return checks.invalid_iso8601(rows.withColumn("at", forms.otherwise(F.col("at"))), "at", nullable=True).select("event_id")
 
 
 @query("conflicting_payloads", """

@@ -39,11 +39,14 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: the cluster's checkpoint directory.
 
-    Only where the cluster names none (tests, a laptop) a fresh local folder is
-    made and remembered in the session.
+    Only on a local master (tests, a laptop) a fresh local folder is made and
+    remembered in the session; elsewhere a missing setting is an error, since each
+    machine would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

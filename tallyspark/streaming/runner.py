@@ -14,15 +14,18 @@ def read_files(spark: SparkSession, path: str, schema: str | StructType, fmt: st
     return reader.load(path)
 
 
-def append_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", timeout: int = 600) -> None:
+def append_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", timeout: int | None = None) -> None:
     """Process what has arrived, append it exactly once, and stop.
 
-    The checkpoint remembers which files are done, so a second run continues there.
+    The checkpoint remembers which files are done, so a second run continues there. A backlog takes the time it takes;
+    ``timeout`` in seconds is for callers that want a limit.
     """
     query = (
         stream.writeStream.format(fmt).outputMode("append").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")

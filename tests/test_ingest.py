@@ -163,3 +163,12 @@ def test_ordered_lines_and_reports(spark, tmp_path):
     assert next((tmp_path / "r").glob("part-*")).read_text().strip() == '{"a":null,"b":1}'
     with pytest.raises(FileExistsError):
         sinks.refuse_existing(spark, [str(tmp_path / "r"), str(tmp_path / "none")])
+
+
+def test_iso_forms(spark):
+    from tallyspark.operators import checks
+
+    good = ["2026-07-01", "20260701", "2026-07-01T10:00:00Z", "2026-07-01 10:00", "2026-07-01T10:00:00.123+03:00"]
+    bad = ["2026", "2026-07", "2026-7-1", "T10:00", "2026-13-01", "no", ""]
+    df = spark.createDataFrame([(x,) for x in good + bad], "at string")
+    assert {r.at for r in checks.invalid_iso8601(df, "at").collect()} == set(bad)

@@ -137,3 +137,30 @@ def test_query_equals_its_sql_twin(spark, name):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries()[name](spark, DATA).toPandas(), duck.execute(oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and normal(got) == normal(want)
+
+
+def test_fuzzy_terms_find_a_changed_first_letter(spark):
+    from tallyspark.operators import listing
+
+    df = spark.createDataFrame([(1, "a xidget"), (2, "wodget"), (3, "idget"), (4, "widgets widget"), (5, "gadget")], "k long, t string")
+    got = {(r.k, r.token, r.distance) for r in listing.fuzzy_terms(df, "k", "t", ["widget"]).collect()}
+    assert got == {(1, "xidget", 1), (2, "wodget", 1), (3, "idget", 1), (4, "widgets", 1), (4, "widget", 0)}
+
+
+def test_harm_across_a_carriage_return(spark):
+    from pyspark.sql import functions as F
+    from tallyspark.functions.rules import rule_gate
+
+    rows = spark.createDataFrame([("تسممنا كلنا\rبعد الأكل",), ("تسممنا كلنا\nبعد الأكل",), ("تسممنا كلنا بعد الأكل",)], "t string")
+    found = [r[0] for r in rows.select(rule_gate(F.col("t"))["rule_id"]).collect()]
+    assert found[0] == found[2] == "urgent_credible_harm_v1"
+
+
+def test_shared_folder_is_refused_off_local_masters():
+    import pytest
+    from types import SimpleNamespace
+    from tallyspark.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")))
