@@ -372,8 +372,10 @@ class ReviewPlan:
 def segment_quotas(queue: DataFrame, plan: ReviewPlan) -> DataFrame:
     """(segment, waiting, quota): emergencies first, then shares, then what others left over.
 
-    Each segment gets floor(share) of the capacity after emergencies. Unused places go to
-    the segments that still have more waiting, in proportion to how much, rounded down.
+    Each segment gets its share of the capacity after emergencies. Unused places go to
+    the segments that still have more waiting, in proportion to how much. Fractions of a
+    place go to the largest remainders (ties to the first segment by name), so the
+    quotas always add up to the capacity or to all that wait.
     """
     spark = queue.sparkSession
     shares = spark.createDataFrame(
@@ -383,18 +385,23 @@ def segment_quotas(queue: DataFrame, plan: ReviewPlan) -> DataFrame:
     all_segments = W.partitionBy(F.lit(0))  # one row per configured segment
     urgent = F.when(F.col("segment") == plan.emergency, F.least(F.col("waiting"), F.lit(plan.capacity))).otherwise(0)
     base = base.withColumn("__urgent", urgent).withColumn("__left", F.lit(plan.capacity) - F.sum("__urgent").over(all_segments))
-    total = sum(plan.shares.values())
-    base = base.withColumn("__first", F.floor(F.col("__left") * F.col("share") / total))
-    base = base.withColumn("__used", F.least("__first", "waiting"))
+
+    def apportion(frame: DataFrame, places: str, weight: str, out: str) -> DataFrame:
+        # Whole numbers throughout; a product of two counts may need more than 64 bits.
+        wide = frame.withColumn("__p", F.col(places).cast("decimal(19,0)") * F.col(weight).cast("decimal(19,0)")).withColumn(
+            "__sum", F.greatest(F.sum(weight).over(all_segments), F.lit(1)).cast("decimal(19,0)"))
+        wide = wide.withColumn("__floor", F.expr("__p div __sum")).withColumn("__rest", F.expr("__p % __sum"))
+        wide = wide.withColumn("__over", F.expr(f"if(sum({weight}) over (partition by 0) > 0, {places}, 0)") - F.sum("__floor").over(all_segments))
+        rank = F.row_number().over(all_segments.orderBy(F.desc("__rest"), "segment"))
+        return wide.withColumn(out, F.col("__floor") + (rank <= F.col("__over")).cast("long")).drop("__p", "__sum", "__floor", "__rest", "__over")
+
+    base = apportion(base, "__left", "share", "__first")
+    base = base.withColumn("__used", F.when(F.col("segment") == plan.emergency, 0).otherwise(F.least("__first", "waiting")))
     base = base.withColumn("__excess", F.when(F.col("segment") == plan.emergency, 0).otherwise(F.col("waiting") - F.col("__used")))
-    base = base.withColumn("__free", F.sum(F.when(F.col("segment") == plan.emergency, 0).otherwise(
-        F.col("__first") - F.col("__used"))).over(all_segments))
-    spare = F.floor(F.coalesce(F.try_divide(
-        F.col("__free") * F.col("__excess"), F.sum("__excess").over(all_segments)), F.lit(0)))
-    return base.select(
-        "segment", "waiting",
-        (F.col("__urgent") + F.when(F.col("segment") == plan.emergency, 0).otherwise(
-            F.col("__used") + F.least(spare, F.col("__excess")))).cast("long").alias("quota"))
+    base = base.withColumn("__free", F.least(
+        F.sum(F.col("__first") - F.col("__used")).over(all_segments), F.sum("__excess").over(all_segments)))
+    base = apportion(base, "__free", "__excess", "__more")
+    return base.select("segment", "waiting", (F.col("__urgent") + F.col("__used") + F.col("__more")).cast("long").alias("quota"))
 
 
 def queue_levels(arrival: str = "arrival") -> dict[str, Column]:

@@ -102,7 +102,11 @@ def load(spark: SparkSession, path: str, source_format: str = "csv", check: bool
     else:
         raw = spark.read.format(source_format).load(path)
     if set(PREPARED_COLUMNS) <= set(raw.columns):
-        return raw.select(*PREPARED_COLUMNS)
+        if source_format != "csv":
+            return raw.select(*PREPARED_COLUMNS)
+        types = {**dict.fromkeys(("CustomerRatingAverage", *METRICS), "double"), "CreatedDate": "timestamp", "delivery_hour": "int",
+                 **dict.fromkeys(("late_comment_signal", "has_customer_comment"), "boolean")}
+        return raw.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in PREPARED_COLUMNS])
     if source_format == "csv":
         raw = checks.require_columns(raw, SOURCE_COLUMNS).withColumn(
             "CustomerRatingAverage", F.expr("try_cast(CustomerRatingAverage as double)")
@@ -137,7 +141,7 @@ def period_window(df: DataFrame, period: str, anchor: datetime | None = None) ->
         if low is None:
             raise ContractError("No orders exist.")
         floor = lambda t: datetime(t.year, t.month, t.day)
-        return DateWindow(period, floor(low), floor(anchor or high) + timedelta(days=1))
+        return DateWindow(period, floor(low), floor(high) + timedelta(days=1))  # all rows, whatever the anchor
     newest = anchor or df.agg(F.max("CreatedDate")).first()[0]
     if newest is None:
         raise ContractError("No orders exist.")
@@ -168,6 +172,11 @@ def _daily(df: DataFrame, keys: Sequence[str | Column], policy: AnalysisPolicy)
     )
 
 
+def _some(orders: Column, message: str) -> Column:
+    """The count, or an error when the frame is run and a period turns out to hold no order."""
+    return F.when(orders > 0, orders).otherwise(F.raise_error(F.lit(message)))
+
+
 def metric_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, metric, value) rows of the valid observations."""
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
@@ -180,16 +189,20 @@ def metric_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # --- analyses ---------------------------------------------------------------------------
 
 def data_scope(df: DataFrame) -> DataFrame:
-    """One row describing what the data covers."""
+    """One row describing what the data covers, from one scan of the source.
+
+    Each order becomes a row per distinct count after projection, and these are reduced
+    to distinct ids before the shuffle.
+    """
     facts = df.agg(
         F.to_date(F.min("CreatedDate")).alias("first_day"),
         F.to_date(F.max("CreatedDate")).alias("last_day"),
         F.count(F.lit(1)).alias("orders"),
         F.count_if("has_customer_comment").alias("orders_with_comments"),
+        F.count_distinct("BranchID").alias("branches"),
+        F.count_distinct("DeliveryZoneName").alias("zones"),
+        F.count_distinct("RiderID").alias("riders"),
     )
-    # One distinct per column: a shared multi-distinct would multiply every input row.
-    for name, column in (("branches", "BranchID"), ("zones", "DeliveryZoneName"), ("riders", "RiderID")):
-        facts = facts.crossJoin(df.select(column).distinct().agg(F.count(column).alias(name)))
     return facts.select(
         F.concat_ws(" to ", "first_day", "last_day").alias("data_window"),
         "orders", "branches", "zones", "riders", "orders_with_comments",
@@ -205,7 +218,7 @@ def operations_summary(df: DataFrame, window: DateWindow, policy: AnalysisPolicy
         *[F.sum(f"valid_{m}").alias(f"valid_{m}") for m in METRICS],
         F.count("day").alias("active_days"),
         *[F.sum(c).alias(c) for c in ("low_rating_orders", "comments", "late_comment_signals")],
-    ).where(F.col("orders") > 0)
+    ).withColumn("orders", _some(F.col("orders"), f"No orders exist for {window.label}."))
     per_metric = totals.select(
         "orders", "active_days", "low_rating_orders", "comments", "late_comment_signals",
         F.explode(F.array(*[
@@ -384,8 +397,10 @@ def watchouts(
         F.sum(F.when(now, F.col("late_comment_signals"))).alias("late_comment_signals"),
         *[F.sum(F.col("orders") - F.col(f"valid_{m}")).alias(f"invalid_{m}") for m in METRICS],
     )
-    # A month without orders has nothing to report, so the report is empty then.
-    total = total.where("orders > 0 and previous_orders > 0")
+    # A month without orders cannot be reported on.
+    total = total.withColumns({
+        "orders": _some(F.col("orders"), f"No orders exist for {current.label}."),
+        "previous_orders": _some(F.col("previous_orders"), f"No orders exist for {previous.label}.")})
     spread = exact_quantiles(df.where(in_window(current)), [], duration, {"median_minutes": 0.5, "p90_minutes": 0.9})
     rate, previous_rate = F.col("low") / F.col("orders"), F.col("previous_low") / F.col("previous_orders")
     facts = {

@@ -26,21 +26,19 @@ FOOD_ASPECT = "الطعام"  # fixed value: the structured food sub-rating
 def brand_profile(reviews: DataFrame) -> DataFrame:
     """Per brand: volume, reach, dates, mean stars, text and owner responses.
 
-    The (brand, reviewer) and (brand, branch) distincts are counted as two-level
-    aggregations, so a brand with a third of all rows is never one task.
+    One scan. The distinct counts are planned as two-level aggregations over (brand,
+    reviewer) and (brand, branch), so a brand with a third of all rows is never one task.
     """
-    base = reviews.groupBy("brand_name").agg(
+    return reviews.where(F.col("brand_name").isNotNull()).groupBy("brand_name").agg(
         F.count(F.lit(1)).alias("unique_reviews"),
         F.to_date(F.min("published_at")).cast("string").alias("first_date"),
         F.to_date(F.max("published_at")).cast("string").alias("last_date"),
         F.avg("stars").alias("mean_stars"),
         F.count_if(has_text(F.col("review_text"))).alias("reviews_with_text"),
         F.count_if(F.col("owner_response_text").isNotNull()).alias("owner_responses"),
+        F.count_distinct("reviewer_id").alias("reviewers"),
+        F.count_distinct("branch_id").alias("reviewed_branches"),
     )
-    for column, name in (("reviewer_id", "reviewers"), ("branch_id", "reviewed_branches")):
-        reach = reviews.select("brand_name", column).distinct().groupBy("brand_name").agg(F.count(column).alias(name))
-        base = base.join(reach, "brand_name")
-    return base
 
 
 def reviewer_activity(reviews: DataFrame) -> DataFrame:

@@ -262,9 +262,13 @@ cap AS (SELECT {CAPACITY_SQL} AS c),
 sh(segment, share) AS (VALUES ('prohibited_gray_zone', 70), ('adversarial', 20), ('unknown_category', 1), ('audit', 9)),
 wait AS (SELECT segment, count(*) AS waiting FROM q GROUP BY segment),
 urgent AS (SELECT least(coalesce((SELECT waiting FROM wait WHERE segment = 'emergency'), 0), c)::BIGINT AS u, c FROM cap),
-b AS (SELECT sh.segment, coalesce(waiting, 0) AS waiting, ((c - u) * share) // 100 AS first FROM sh LEFT JOIN wait ON wait.segment = sh.segment, urgent),
-e AS (SELECT *, least(first, waiting) AS used, waiting - least(first, waiting) AS excess FROM b),
-f AS (SELECT *, used + least(excess, coalesce(((SELECT sum(first - used) FROM e) * excess) // nullif((SELECT sum(excess) FROM e), 0), 0)) AS quota FROM e),
+s AS (SELECT sh.segment, coalesce(waiting, 0) AS waiting, c - u AS places, ((c - u) * share) // 100 AS whole, ((c - u) * share) % 100 AS rest
+      FROM sh LEFT JOIN wait ON wait.segment = sh.segment, urgent),
+b AS (SELECT *, whole + (row_number() OVER (ORDER BY rest DESC, segment) <= places - sum(whole) OVER ())::INT AS first FROM s),
+e AS (SELECT segment, waiting, first, least(first, waiting) AS used, waiting - least(first, waiting) AS excess FROM b),
+t AS (SELECT *, least(sum(first - used) OVER (), sum(excess) OVER ()) AS free, greatest(sum(excess) OVER (), 1) AS n FROM e),
+g AS (SELECT *, (free * excess) // n AS whole, (free * excess) % n AS rest FROM t),
+f AS (SELECT *, used + whole + (row_number() OVER (ORDER BY rest DESC, segment) <= free - sum(whole) OVER ())::INT AS quota FROM g),
 quota AS (SELECT segment, waiting::BIGINT AS waiting, quota::BIGINT AS quota FROM f
           UNION ALL SELECT 'emergency', coalesce((SELECT waiting FROM wait WHERE segment = 'emergency'), 0), u FROM urgent)"""
 

@@ -247,22 +247,28 @@ def trend_vs_rating(spark, folder):
     return rounded(rv.trend_vs_rating(trends, rv.period_rating_trends(r, rv.analysis_window(r))))
 
 
-# Only strong values count here; otherwise every user would appear under every type.
-STRONG = 120
-STRONG_CTE = f"{EVENT_CTE}, strong AS (SELECT * FROM ev WHERE value > {STRONG})"
+# All events count. The type alone would put every user under every brand, so rare high values are a brand of their own.
+HIGH_VALUE = 120
+TIER_CTE = f"""{EVENT_CTE},
+tier AS (SELECT * REPLACE (CASE WHEN value > {HIGH_VALUE} THEN brand || ' premium' ELSE brand END AS brand) FROM ev)"""
 PAIRS = """
-brands AS (SELECT DISTINCT brand FROM ev),
+brands AS (SELECT DISTINCT brand FROM tier),
 pairs AS (SELECT a.brand AS a, b.brand AS b FROM brands a JOIN brands b ON a.brand < b.brand),
-sets AS (SELECT DISTINCT brand, reviewer FROM strong)"""
+sets AS (SELECT DISTINCT brand, reviewer FROM tier)"""
 
 
-def _strong(spark, folder):
-    every = event_reviews(spark, folder)
-    return every.where(F.col("value") > STRONG), brands_of(every)
+def _tiered(spark, folder):
+    return event_reviews(spark, folder).withColumn("brand_name", F.when(
+        F.col("value") > HIGH_VALUE, F.concat("brand_name", F.lit(" premium"))).otherwise(F.col("brand_name")))
+
+
+def _tiered_and_brands(spark, folder):
+    every = _tiered(spark, folder)
+    return every, brands_of(every)
 
 
 @query("reviewer_overlap", f"""
-WITH {STRONG_CTE}, {PAIRS},
+WITH {TIER_CTE}, {PAIRS},
 everywhere AS (SELECT reviewer FROM sets GROUP BY reviewer HAVING count(*) = (SELECT count(*) FROM brands)),
 shared AS (SELECT x.brand AS a, y.brand AS b, x.reviewer, e.reviewer IS NOT NULL AS ev
            FROM sets x JOIN sets y ON x.reviewer = y.reviewer AND x.brand < y.brand LEFT JOIN everywhere e ON e.reviewer = x.reviewer)
@@ -270,7 +276,7 @@ SELECT p.a AS brand_a, p.b AS brand_b, count(s.reviewer) AS shared_reviewers,
        count_if(s.ev)::BIGINT AS shared_reviewers_at_all_brands, count_if(NOT s.ev)::BIGINT AS pair_exclusive_reviewers
 FROM pairs p LEFT JOIN shared s ON s.a = p.a AND s.b = p.b GROUP BY p.a, p.b""")
 def reviewer_overlap(spark, folder):
-    return rv.reviewer_overlap(*_strong(spark, folder))
+    return rv.reviewer_overlap(*_tiered_and_brands(spark, folder))
 
 
 def _side(s: str, m: str) -> str:
@@ -283,39 +289,39 @@ def _side(s: str, m: str) -> str:
 
 
 @query("overlap_ratings", f"""
-WITH {STRONG_CTE}, {PAIRS},
-m AS (SELECT brand, reviewer, avg(stars) AS s, avg(CASE WHEN branch % 2 = 0 THEN 1 + branch % 5 END) AS f FROM strong GROUP BY ALL),
+WITH {TIER_CTE}, {PAIRS},
+m AS (SELECT brand, reviewer, avg(stars) AS s, avg(CASE WHEN branch % 2 = 0 THEN 1 + branch % 5 END) AS f FROM tier GROUP BY ALL),
 shared AS (SELECT x.brand AS a, y.brand AS b, x.s AS a_s, y.s AS b_s, x.f AS a_f, y.f AS b_f
            FROM m x JOIN m y ON x.reviewer = y.reviewer AND x.brand < y.brand)
 SELECT p.a AS brand_a, p.b AS brand_b, {_side('a', 's')}, {_side('a', 'f')}, {_side('b', 's')}, {_side('b', 'f')},
        count(a_s) AS shared_reviewers
 FROM pairs p LEFT JOIN shared s ON s.a = p.a AND s.b = p.b GROUP BY p.a, p.b""")
 def overlap_ratings(spark, folder):
-    strong, brands = _strong(spark, folder)
-    aspects = strong.where(F.col("branch_id") % 2 == 0).select(
+    every, brands = _tiered_and_brands(spark, folder)
+    aspects = every.where(F.col("branch_id") % 2 == 0).select(
         "review_id", F.lit(rv.FOOD_ASPECT).alias("aspect"), (F.col("branch_id") % 5 + 1).cast("double").alias("score"))
-    return rounded(rv.overlap_ratings(strong, brands, aspects))
+    return rounded(rv.overlap_ratings(every, brands, aspects))
 
 
 @query("preference_share", f"""
-WITH {STRONG_CTE}, {PAIRS},
-m AS (SELECT brand, reviewer, avg(stars) AS s FROM strong GROUP BY ALL),
+WITH {TIER_CTE}, {PAIRS},
+m AS (SELECT brand, reviewer, avg(stars) AS s FROM tier GROUP BY ALL),
 shared AS (SELECT x.brand AS a, y.brand AS b, x.s AS u, y.s AS v FROM m x JOIN m y ON x.reviewer = y.reviewer AND x.brand < y.brand)
 SELECT p.a AS brand_a, p.b AS brand_b, count(u) AS shared, count_if(u > v)::BIGINT AS prefer_a, count_if(v > u)::BIGINT AS prefer_b,
        count_if(u = v)::BIGINT AS no_preference, round(CASE WHEN count(u) = 0 THEN 0.0 ELSE count_if(u > v) / count(u) END, 6) AS share_a,
        round(CASE WHEN count(u) = 0 THEN 0.0 ELSE count_if(v > u) / count(u) END, 6) AS share_b
 FROM pairs p LEFT JOIN shared s ON s.a = p.a AND s.b = p.b GROUP BY p.a, p.b""")
 def preference_share(spark, folder):
-    return rounded(rv.preference_share(*_strong(spark, folder)))
+    return rounded(rv.preference_share(*_tiered_and_brands(spark, folder)))
 
 
 @query("customer_balanced_rating", f"""
-WITH {EVENT_CTE}, chosen AS (SELECT DISTINCT reviewer FROM ev WHERE brand = 'view' AND value > {STRONG}),
-m AS (SELECT reviewer, avg(stars) AS s FROM ev WHERE brand = 'click' AND reviewer IN (SELECT reviewer FROM chosen) GROUP BY reviewer)
+WITH {TIER_CTE}, chosen AS (SELECT DISTINCT reviewer FROM tier WHERE brand = 'view premium'),
+m AS (SELECT reviewer, avg(stars) AS s FROM tier WHERE brand = 'click' AND reviewer IN (SELECT reviewer FROM chosen) GROUP BY reviewer)
 SELECT round(avg(s), 6) AS overall_stars_mean, count(s) AS overall_stars_reviewers,
        round(avg(s) - 1.96 * stddev_samp(s) / sqrt(count(s)), 6) AS overall_stars_ci_low,
        round(avg(s) + 1.96 * stddev_samp(s) / sqrt(count(s)), 6) AS overall_stars_ci_high FROM m""")
 def customer_balanced_rating(spark, folder):
-    r = event_reviews(spark, folder)
-    chosen = r.where((F.col("brand_name") == "view") & (F.col("value") > STRONG)).select("reviewer_id")
+    r = _tiered(spark, folder)
+    chosen = r.where(F.col("brand_name") == "view premium").select("reviewer_id")
     return rounded(rv.customer_balanced(r, "click", chosen))
