@@ -70,13 +70,15 @@ FOLDS = {other: ascii_ for ascii_, others in LOOKALIKES.items() for other in oth
 FOLDS |= {ch: to for ch in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(ch) < 0xE000
           and ch not in FOLDS and (to := _folded(ch)) is not None}
 FOLDS |= {ch: to for ch in map(chr, range(0x1D400, 0x1D800)) if (to := _folded(ch)) is not None}
-FOLDABLE = re.compile("[" + "".join(map(re.escape, sorted(FOLDS))) + "]")
+# A class of thousands of characters is slow to test, so candidates are found by this one and looked up.
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
 _DIGIT_WORDS = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 #: Three or more digits in a row of which words are some, apart by space, hyphen, comma, dot or nothing but a border.
 DIGIT_RUN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORDS}|\d+)(?:[ ,_-]{{1,2}}(?:{_DIGIT_WORDS}|\d+)){{2,}}(?!\w)", re.I)
 DIGIT_HINT = re.compile(rf"\b(?:{_DIGIT_WORDS})[ ,._-]{{1,2}}(?:{_DIGIT_WORDS}|\d|dot|point|punkt|punto)\b", re.I)
 SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_DIGIT_WORDS})(?!\w)", re.I)
+ALNUM = re.compile(r"[^\W_]+")
 BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.I)
 BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*", re.I)
 _SEP = r"[\s_-]{1,2}"
@@ -136,12 +138,16 @@ class Mapped:
     """A text whose characters know their source span and whether a transducer wrote them."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
+        # The maps are filled in at the first rewrite; most texts have none.
+        self.text, self.starts, self.ends, self.changed = text, None, None, bytearray()
 
     def rewrite(self, pieces: list[tuple[int, int, str]]) -> None:
         """Replace ascending, disjoint ranges by ASCII text; each new character stands for the whole range."""
         if not pieces:
             return
+        if self.starts is None:
+            n = len(self.text)
+            self.starts, self.ends, self.changed = list(range(n)), list(range(1, n + 1)), bytearray(n)
         text, starts, ends, changed, last = [], [], [], bytearray(), 0
         for a, b, new in [*pieces, (len(self.text), len(self.text), "")]:
             text.append(self.text[last:a])
@@ -159,6 +165,17 @@ class Mapped:
         self.text, self.starts, self.ends, self.changed = "".join(text), starts, ends, changed
 
 
+def _digit_words(text: str) -> bool:
+    """Whether a spelled digit stands between other characters than letters and digits: needed by all patterns of them.
+
+    The replacements are the letters that a pattern without case takes for i and s beside those that ``lower`` makes.
+    """
+    low = text.lower()
+    if not low.isascii():
+        low = low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+    return not DIGIT_OF.keys().isdisjoint(ALNUM.findall(low))
+
+
 def _digit_pieces(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits, and the separators on either side of one, inside runs of at least three digits."""
     out = []
@@ -189,7 +206,7 @@ def normalised(text: str) -> Mapped:
     """The text after all transducers, in order."""
     m = Mapped(text)
     if not text.isascii():
-        m.rewrite([(x.start(), x.end(), FOLDS[x[0]]) for x in FOLDABLE.finditer(m.text)])
+        m.rewrite([(x.start(), x.end(), FOLDS[x[0]]) for x in NOT_ASCII.finditer(m.text) if x[0] in FOLDS])
     m.rewrite([(x.start(), x.end(), "@") for x in BRACKET_AT.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), ".") for x in BRACKET_DOT.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), "@") for x in WORD_AT.finditer(m.text)])
@@ -197,6 +214,8 @@ def normalised(text: str) -> Mapped:
     m.rewrite([(x.start(), x.end(), "@") for x in SPACED_AT.finditer(m.text)])
     m.rewrite([(d.start(), d.end(), ".") for x in SPACED_HOST.finditer(m.text) for d in BLANK_DOT.finditer(m.text, x.start(), x.end())])
     m.rewrite([(x.start(), x.end(), "+") for x in PLUS.finditer(m.text)])
+    if not _digit_words(m.text):
+        return m
     m.rewrite(_digit_pieces(m.text))
     # A spelled digit between dots is part of an address of four numbers.
     m.rewrite([(x.start(), x.end(), DIGIT_OF[x[0].lower()]) for x in SPELLED_WORD.finditer(m.text)
@@ -206,7 +225,8 @@ def normalised(text: str) -> Mapped:
 
 def disguised(text: str) -> bool:
     """Whether any transducer could have something to do; cheap, and true too often rather than too rarely."""
-    return bool(HINT.search(text) or DIGIT_HINT.search(text) or not text.isascii() and FOLDABLE.search(text))
+    return bool(HINT.search(text) or _digit_words(text) and DIGIT_HINT.search(text)
+                or not text.isascii() and not FOLDS.keys().isdisjoint(text))
 
 
 def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
