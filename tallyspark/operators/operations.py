@@ -172,9 +172,9 @@ def _daily(df: DataFrame, keys: Sequence[str | Column], policy: AnalysisPolicy)
     )
 
 
-def _some(orders: Column, message: str) -> Column:
-    """The count, or an error when the frame is run and a period turns out to hold no order."""
-    return F.when(orders > 0, orders).otherwise(F.raise_error(F.lit(message)))
+def _some(orders: str, window: DateWindow) -> Column:
+    """A filter that stops the run when the period holds no order. As a filter it is never pruned away."""
+    return F.when(F.col(orders) > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"No orders exist for {window.label}.")))
 
 
 def metric_rows(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -218,7 +218,7 @@ def operations_summary(df: DataFrame, window: DateWindow, policy: AnalysisPolicy
         *[F.sum(f"valid_{m}").alias(f"valid_{m}") for m in METRICS],
         F.count("day").alias("active_days"),
         *[F.sum(c).alias(c) for c in ("low_rating_orders", "comments", "late_comment_signals")],
-    ).withColumn("orders", _some(F.col("orders"), f"No orders exist for {window.label}."))
+    ).where(_some("orders", window))
     per_metric = totals.select(
         "orders", "active_days", "low_rating_orders", "comments", "late_comment_signals",
         F.explode(F.array(*[
@@ -398,9 +398,7 @@ def watchouts(
         *[F.sum(F.col("orders") - F.col(f"valid_{m}")).alias(f"invalid_{m}") for m in METRICS],
     )
     # A month without orders cannot be reported on.
-    total = total.withColumns({
-        "orders": _some(F.col("orders"), f"No orders exist for {current.label}."),
-        "previous_orders": _some(F.col("previous_orders"), f"No orders exist for {previous.label}.")})
+    total = total.where(_some("orders", current)).where(_some("previous_orders", previous))
     spread = exact_quantiles(df.where(in_window(current)), [], duration, {"median_minutes": 0.5, "p90_minutes": 0.9})
     rate, previous_rate = F.col("low") / F.col("orders"), F.col("previous_low") / F.col("previous_orders")
     facts = {

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallyspark.functions.evidence import AnalysisPolicy, weakest
@@ -164,4 +165,5 @@ def test_no_orders_in_the_period(frame):
     with pytest.raises(ContractError):
         ops.period_window(empty, "latest_complete_month")
     now, _ = windows(frame)
-    assert ops.operations_summary(empty, now, POLICY).count() == 0
+    with pytest.raises(PySparkException, match="No orders exist for 2026-06-01"):
+        ops.operations_summary(empty, now, POLICY).count()
