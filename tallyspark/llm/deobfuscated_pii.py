@@ -76,7 +76,9 @@ NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 _DIGIT_WORDS = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 #: Three or more digits in a row of which words are some, apart by space, hyphen, comma, dot or nothing but a border.
 DIGIT_RUN = re.compile(rf"(?<!\w)(?:{_DIGIT_WORDS}|\d+)(?:[ ,_-]{{1,2}}(?:{_DIGIT_WORDS}|\d+)){{2,}}(?!\w)", re.I)
-DIGIT_HINT = re.compile(rf"\b(?:{_DIGIT_WORDS})[ ,._-]{{1,2}}(?:{_DIGIT_WORDS}|\d|dot|point|punkt|punto)\b", re.I)
+# What a rewritten digit word has behind or before it: a further digit of a run, or the dot of an address.
+DIGIT_BEHIND = re.compile(rf"[ ,_-]{{1,2}}(?:{_DIGIT_WORDS}|\d)|\.\w", re.I)
+DIGIT_BEFORE = re.compile(r"\d[ ,_-]{1,2}\Z|\w\.\Z")
 SPELLED_WORD = re.compile(rf"(?<!\w)(?:{_DIGIT_WORDS})(?!\w)", re.I)
 ALNUM = re.compile(r"[^\W_]+")
 BRACKET_AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*", re.I)
@@ -92,7 +94,9 @@ SPACED_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s\.\s?[A-Za-z0-
 BLANK_DOT = re.compile(r"\s\.\s?")
 DOT_BEFORE, DOT_AFTER = re.compile(r"\w\."), re.compile(r"\.\w")
 PLUS = re.compile(rf"(?<!\w)plus[ -]{{1,2}}(?=\d|(?:{_DIGIT_WORDS})\b)", re.I)
-HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]|[\s_-](?:{DOT_WORDS}|{AT_WORDS})[\s_-]|\s@|@\s", re.I)
+# Inner part of both bracket patterns: it starts at a bracket, so it is quick to test.
+BRACKET = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*[\])}}>]", re.I)
+_AT_SET, _DOT_SET = frozenset(AT_WORDS.split("|")), frozenset(DOT_WORDS.split("|"))
 
 
 def luhn(digits: str) -> bool:
@@ -165,15 +169,22 @@ class Mapped:
         self.text, self.starts, self.ends, self.changed = "".join(text), starts, ends, changed
 
 
-def _digit_words(text: str) -> bool:
-    """Whether a spelled digit stands between other characters than letters and digits: needed by all patterns of them.
+def _lower(text: str) -> str:
+    """Lower case of the same length, with the letters that a pattern without case takes for i and s replaced."""
+    low = text.lower() if "\u0130" not in text else text.replace("\u0130", "i").lower()
+    return low if low.isascii() else low.replace("\u0131", "i").replace("\u017f", "s")
 
-    The replacements are the letters that a pattern without case takes for i and s beside those that ``lower`` makes.
-    """
-    low = text.lower()
-    if not low.isascii():
-        low = low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
-    return not DIGIT_OF.keys().isdisjoint(ALNUM.findall(low))
+
+def _digits_meet(text: str, low: str, words: set[str]) -> bool:
+    """Whether one of ``words`` stands where a digit word is rewritten: next to another digit, or at a dot of an address."""
+    for word in words:
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if DIGIT_BEHIND.match(text, end) or DIGIT_BEFORE.search(text[max(0, at - 3):at]):
+                return True
+            at = low.find(word, end)
+    return False
 
 
 def _digit_pieces(text: str) -> list[tuple[int, int, str]]:
@@ -192,7 +203,7 @@ def _digit_pieces(text: str) -> list[tuple[int, int, str]]:
                 while back > last and text[back - 1] in " ,_-":
                     back -= 1
                 out.append((back, w.start(), ""))
-            out.append((w.start(), w.end(), DIGIT_OF[w[0].lower()]))
+            out.append((w.start(), w.end(), DIGIT_OF[_lower(w[0])]))
             last = w.end()
         ahead = last
         while ahead < run.end() and text[ahead] in " ,_-":
@@ -203,37 +214,41 @@ def _digit_pieces(text: str) -> list[tuple[int, int, str]]:
 
 
 def normalised(text: str) -> Mapped:
-    """The text after all transducers, in order."""
+    """The text after all transducers, in order.
+
+    A transducer is left out only where its pattern cannot match: every word in a pattern stands between other characters
+    than letters and digits, so it must be among the words of the text.
+    """
     m = Mapped(text)
-    if not text.isascii():
+    if not text.isascii() and not FOLDS.keys().isdisjoint(text):
         m.rewrite([(x.start(), x.end(), FOLDS[x[0]]) for x in NOT_ASCII.finditer(m.text) if x[0] in FOLDS])
-    m.rewrite([(x.start(), x.end(), "@") for x in BRACKET_AT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), ".") for x in BRACKET_DOT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), "@") for x in WORD_AT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), ".") for x in WORD_DOT.finditer(m.text)])
-    m.rewrite([(x.start(), x.end(), "@") for x in SPACED_AT.finditer(m.text)])
-    m.rewrite([(d.start(), d.end(), ".") for x in SPACED_HOST.finditer(m.text) for d in BLANK_DOT.finditer(m.text, x.start(), x.end())])
-    m.rewrite([(x.start(), x.end(), "+") for x in PLUS.finditer(m.text)])
-    if not _digit_words(m.text):
+    if BRACKET.search(m.text):
+        m.rewrite([(x.start(), x.end(), "@") for x in BRACKET_AT.finditer(m.text)])
+        m.rewrite([(x.start(), x.end(), ".") for x in BRACKET_DOT.finditer(m.text)])
+    # The rewrites below never join or make words, so these stay a superset.
+    words = set(ALNUM.findall(_lower(m.text)))
+    if not words.isdisjoint(_AT_SET):
+        m.rewrite([(x.start(), x.end(), "@") for x in WORD_AT.finditer(m.text)])
+    if not words.isdisjoint(_DOT_SET):
+        m.rewrite([(x.start(), x.end(), ".") for x in WORD_DOT.finditer(m.text)])
+    if "@" in m.text:
+        m.rewrite([(x.start(), x.end(), "@") for x in SPACED_AT.finditer(m.text)])
+        m.rewrite([(d.start(), d.end(), ".") for x in SPACED_HOST.finditer(m.text) for d in BLANK_DOT.finditer(m.text, x.start(), x.end())])
+    if "plus" in words:
+        m.rewrite([(x.start(), x.end(), "+") for x in PLUS.finditer(m.text)])
+    digits = words & DIGIT_OF.keys()
+    if not digits or not _digits_meet(m.text, _lower(m.text), digits):
         return m
     m.rewrite(_digit_pieces(m.text))
     # A spelled digit between dots is part of an address of four numbers.
-    m.rewrite([(x.start(), x.end(), DIGIT_OF[x[0].lower()]) for x in SPELLED_WORD.finditer(m.text)
+    m.rewrite([(x.start(), x.end(), DIGIT_OF[_lower(x[0])]) for x in SPELLED_WORD.finditer(m.text)
                if DOT_BEFORE.search(m.text, max(0, x.start() - 2), x.start()) or DOT_AFTER.match(m.text, x.end())])
     return m
 
 
-def disguised(text: str) -> bool:
-    """Whether any transducer could have something to do; cheap, and true too often rather than too rarely."""
-    return bool(HINT.search(text) or _digit_words(text) and DIGIT_HINT.search(text)
-                or not text.isascii() and not FOLDS.keys().isdisjoint(text))
-
-
 def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and those that the transducers add."""
     plain = find_plain(text)
-    if not disguised(text):
-        return plain, []
     m = normalised(text)
     if not any(m.changed):
         return plain, []

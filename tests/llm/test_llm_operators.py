@@ -204,6 +204,42 @@ def test_personal_data(text, kinds):
     assert not deobfuscated_pii.find_plain(clean) and len(re.findall(r"<(?:email|ip|card|phone)>", clean)) == len(kinds)
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("plus 1 068 555 1234", "phone"), ("plus one 068 555 1234", "phone"), ("+1 068 555 123 four", "phone"), ("4111 1111 1111 111 one", "card"),
+    ("10.0.0.seven", "ip"), ("192.168.one.10", "ip"), ("jo@example . com", "email"),
+])
+def test_each_disguise_is_found_alone(text, kind):
+    _, more = deobfuscated_pii.find_all(text)
+    assert deobfuscated_pii.redacted(text, more) == f"<{kind}>"
+
+
+def ungated(text):
+    """Every transducer on the whole text, none left out."""
+    d, m = deobfuscated_pii, deobfuscated_pii.Mapped(text)
+    m.rewrite([(x.start(), x.end(), d.FOLDS[x[0]]) for x in re.finditer(r"(?s).", m.text) if x[0] in d.FOLDS])
+    for pattern_, new in ((d.BRACKET_AT, "@"), (d.BRACKET_DOT, "."), (d.WORD_AT, "@"), (d.WORD_DOT, "."), (d.SPACED_AT, "@")):
+        m.rewrite([(x.start(), x.end(), new) for x in pattern_.finditer(m.text)])
+    m.rewrite([(b.start(), b.end(), ".") for x in d.SPACED_HOST.finditer(m.text) for b in d.BLANK_DOT.finditer(m.text, x.start(), x.end())])
+    m.rewrite([(x.start(), x.end(), "+") for x in d.PLUS.finditer(m.text)])
+    m.rewrite(d._digit_pieces(m.text))
+    m.rewrite([(x.start(), x.end(), d.DIGIT_OF[d._lower(x[0])]) for x in d.SPELLED_WORD.finditer(m.text)
+               if d.DOT_BEFORE.search(m.text, max(0, x.start() - 2), x.start()) or d.DOT_AFTER.match(m.text, x.end())])
+    return m
+
+
+def test_no_transducer_is_left_out_wrongly():
+    rng = random.Random(10)
+    pieces = [*"0123456789", "068", "555", "4111", *deobfuscated_pii.DIGIT_OF, "Seven", "\u017fix", "F\u0130VE", "plus", "Plu\u017f", "+", "at", "AT", "dot",
+              "pun\u212at", "jo", "example", "com", "[at]", "( . )", "{@}", "<dot>", "@", ".", "\u2013", "\xa0", "\u200b", "x", "\u0662", "(", "]"]
+    changed = 0
+    for _ in range(30_000):
+        t = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", "-", ".", "_", ", ", "  "]) for _ in range(rng.randrange(1, 12)))
+        got, want = deobfuscated_pii.normalised(t), ungated(t)
+        assert (got.text, got.starts, got.ends, got.changed) == (want.text, want.starts, want.ends, want.changed), t
+        changed += want.starts is not None
+    assert changed > 10_000
+
+
 def test_plain_emails_equal_the_pattern():
     rng = random.Random(8)
     for _ in range(3000):
