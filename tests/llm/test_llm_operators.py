@@ -247,7 +247,7 @@ def test_plain_emails_equal_the_pattern():
         assert [s[1:] for s in deobfuscated_pii.find_plain(t) if s[0] == "email"] == [m.span() for m in deobfuscated_pii.EMAIL.finditer(t)]
 
 
-def brute_components(rows, width=4):
+def brute_components(rows, width=4, percent=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -257,7 +257,7 @@ def brute_components(rows, width=4):
     for a in sets:
         for b in sets:
             n = len(sets[a] & sets[b])
-            if a < b and n and 100 * n >= 85 * len(sets[a] | sets[b]):
+            if a < b and n and 100 * n >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}

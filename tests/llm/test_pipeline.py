@@ -1,6 +1,8 @@
 """run() of the pipeline against the same stages worked out by hand."""
 
 
+import random
+
 import numpy as np
 import tiktoken
 import zstandard
@@ -10,7 +12,7 @@ from tallyspark.llm import boosted_quality, byte_bpe, deobfuscated_pii
 from tallyspark.llm.common import read_table
 from tallyspark.llm.queries import pattern, tokenizer_file
 
-from test_llm_operators import brute_components, brute_containment
+from test_llm_operators import brute_components, brute_containment, frame, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +36,19 @@ def test_pipeline_by_brute_force(spark):
             want[i] = own.encode_ordinary(deobfuscated_pii.redacted(t, [s for p in deobfuscated_pii.find_all(t) for s in p]))
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and leaks
+
+
+def test_near_copies_of_the_stage_are_those_of_five_words_and_80_percent(spark):
+    rng = random.Random(11)
+    texts = [None, "", "a b c d", "a b c d", "a b c d e"]
+    for n in (12, 60, 248, 600, 1632):
+        base = words(rng, n).split()
+        for share in (0, 0.01, 0.017, 0.019, 0.02, 0.021, 0.022, 0.023, 0.03):
+            w = list(base)
+            for k in rng.sample(range(n), round(share * n)):
+                w[k] = f"n{rng.random()}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want, four = ({i for i, (n, c) in brute_components(rows, *p).items() if n == 0 or c == i} for p in ((5, 80), (4, 85)))
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame(spark, texts), SF).collect()}
+    assert got == want and want < four
