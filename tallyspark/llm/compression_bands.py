@@ -2,8 +2,10 @@
 
 Repetitive text compresses too well, random text too badly, and both limits move with the length because a short
 text gives the compressor little to refer back to. The whole document is judged by the band of its length; fixed
-chunks are judged one by one, so a repetitive or random stretch inside a long document is found although the whole
-looks normal.
+chunks are judged one by one, the last of them laid back from the end, so every byte is in a chunk. Odd chunks reject a
+document by their share of its bytes or by an unbroken run: a repetitive or random stretch of three chunks (6 KB) less one
+byte holds two whole chunks wherever it lies, and is found although the whole looks normal. A text shorter than a chunk is
+one chunk, judged by the band of its length.
 
 Null and empty texts have no words, ratio 0 and fail the base rule. Texts below the first band (128 bytes) are too short
 for a ratio to mean anything and pass this rule. Repeated rows are judged alike, each in its own row.
@@ -25,7 +27,8 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 @dataclass(frozen=True)
 class BandPolicy:
-    """(from bytes on, lowest, highest ratio) by whole length; chunk size, its band and the share of odd chunks allowed."""
+    """(from bytes on, lowest, highest ratio) by whole length; chunk size, its band, the share of a text's bytes that odd chunks
+    may cover, and the bytes of consecutive odd chunks from which on a text is rejected."""
 
     bands: tuple[tuple[int, float, float], ...] = field(default=(
         (0, 0.0, float("inf")), (128, 0.45, 1.05), (256, 0.43, 0.92), (512, 0.40, 0.85), (1024, 0.36, 0.80),
@@ -33,6 +36,7 @@ class BandPolicy:
     chunk_bytes: int = 2048
     chunk_band: tuple[float, float] = (0.34, 0.75)
     odd_chunk_share: float = 0.25
+    odd_run_bytes: int = 4096
     level: int = 3
 
 
@@ -69,16 +73,28 @@ def repeated_lines(text: str) -> int:
 
 
 def band_verdict(data: bytes, compress, policy: BandPolicy) -> tuple[float, int, int, bool]:
-    """Whole ratio, full chunks, chunks outside the chunk band, and whether the document stays inside its limits."""
+    """Whole ratio, chunks, chunks outside their band, and whether the document stays inside its limits."""
     if not data:
         return 0.0, 0, 0, True
     ratio = len(compress(data)) / len(data)
     _, low, high = [b for b in policy.bands if b[0] <= len(data)][-1]
-    step, odd, chunks = policy.chunk_bytes, 0, len(data) // policy.chunk_bytes
-    for k in range(chunks):
-        part = len(compress(data[k * step:(k + 1) * step])) / step
-        odd += not policy.chunk_band[0] <= part <= policy.chunk_band[1]
-    return ratio, chunks, odd, low <= ratio <= high and odd <= policy.odd_chunk_share * chunks
+    inside, step = low <= ratio <= high, policy.chunk_bytes
+    if len(data) < step:
+        return ratio, 1, int(not inside), inside
+    starts = [*range(0, len(data) - step + 1, step)]
+    if len(data) % step:
+        starts.append(len(data) - step)
+    odd = covered = run = longest = end = 0
+    for a in starts:
+        part = len(compress(data[a:a + step])) / step
+        if policy.chunk_band[0] <= part <= policy.chunk_band[1]:
+            run = 0
+        else:
+            # The last chunk may overlap the one before: bytes count once.
+            new = a + step - max(a, end)
+            odd, covered, run, end = odd + 1, covered + new, run + (new if run else step), a + step
+            longest = max(longest, run)
+    return ratio, len(starts), odd, inside and covered <= policy.odd_chunk_share * len(data) and longest < policy.odd_run_bytes
 
 
 def compression_quality(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),

@@ -85,6 +85,20 @@ def test_compression_rejects_repetition_and_noise_only(spark):
     assert rows[0].kept and not rows[1].kept and not rows[2].kept
 
 
+def test_odd_stretches_reject_wherever_they_lie(spark):
+    rng = random.Random(12)
+    prose = words(rng, 9000)
+    noise = base64.b64encode(rng.randbytes(9000)).decode()
+    line = "the same line of text again and again\n" * 300
+    texts = [prose[:2048] + noise[:1950], prose[:32768] + line[:8192], prose[:32768] + noise[:8192],
+             *[prose[:n] + odd[:6143] + prose[n:40000] for n in (0, 1, 777, 2047, 20001, 39999) for odd in (line, noise)],
+             *[prose[:n] for n in (1500, 2048, 2049, 4095, 5000, 40000)], prose[:20000] + noise[:2048] + prose[20000:40000]]
+    rows = {r.doc_id: r for r in compression_bands.compression_quality(frame(spark, texts)).collect()}
+    assert not any(rows[i].kept for i in range(15)) and all(rows[i].kept for i in range(15, len(texts)))
+    assert [rows[i].n_chunks for i in range(15, 21)] == [1, 1, 2, 2, 3, 20]
+    assert all(0.3 < rows[i].ratio < 0.7 for i in range(1, 15))  # the whole looks normal
+
+
 def test_repeated_strings_by_brute_force(spark):
     rng = random.Random(3)
     base = [words(rng, 120) for _ in range(6)]
