@@ -2,7 +2,8 @@
 
 A page is cut into flat blocks of text. A block's features are its word count and link density, those of its two neighbours,
 whether it is a heading or a list item, and whether the elements around it name themselves as article or as furniture. A small
-decision tree, trained on the labelled table below, decides which blocks are main text. The tree is fitted once on
+decision tree, trained on the labelled table below, decides which blocks are main text: furniture first, then article, and
+only blocks without either by words and link density. The tree is fitted once on
 the driver (the table is a constant) and travels with the job.
 
 Null and empty pages have an empty text. Broken markup is read as browsers do: unknown end tags are ignored, an unfinished tag at
@@ -40,6 +41,9 @@ FURNITURE = re.compile(
     r"newsletter|subscribe\w*|signup|login|search\w*|pagination|pager|tags?|toolbar|widget\w*|copyright|legal|skip\w*|contentinfo|navigation|"
     r"complementary|disclaimer|gdpr|outbrain|taboola)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:articles?|article-?body|articlebody|main|content|entry|post|story|body-?text|text)(?:$|[\s_-])", re.I)
+# Class tokens that say something about the page or its subject: states (has-sidebar), layouts, and subjects (tag-news).
+ABOUT = re.compile(r"(?:^|[_-])(?:has|no|not|is|with|without|hide|show|enable|disable)[_-]|[_-](?:layout|template|enabled|disabled|open|closed)\Z|"
+                   r"^(?:category|cat|tag|term|topic|author|format|type|status)[_-](?!(?:cloud|list|links?)\Z)", re.I)
 
 FEATURES = ("words", "link_share", "before_words", "before_links", "after_words", "after_links", "heading", "item", "content", "furniture")
 # The labelled table: one row for each block with the features above, then 1 for main text and 0 for the rest.
@@ -71,6 +75,11 @@ LABELLED = (
 )
 
 
+def names_furniture(names: str) -> bool:
+    """Whether one of the class tokens or ids names the element itself as furniture."""
+    return bool(FURNITURE.search(names)) and any(FURNITURE.search(t) and not ABOUT.search(t) for t in names.split())
+
+
 @dataclass
 class Block:
     text: str
@@ -145,7 +154,8 @@ def text_blocks(page: str) -> list[Block]:
         if tag in FURNITURE_TAGS or tag == "header" and not content:
             furniture = True
         if names and tag not in ("html", "body"):
-            if FURNITURE.search(names):
+            # An article or main element is what its tag says, whatever its classes tell of the page or the subject.
+            if tag not in CONTENT_TAGS and names_furniture(names):
                 furniture = True
             elif CONTENT.search(names):
                 content = True

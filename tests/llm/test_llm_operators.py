@@ -66,6 +66,18 @@ def test_html_main_text(spark):
     assert not tree.predict(inside).any()
 
 
+@pytest.mark.parametrize("opening,kept", [
+    ('<article class="post-12 post tag-news category-bar">', True), ('<div class="content has-sidebar">', True),
+    ('<main class="no-sidebar">', True), ('<div class="main no-sidebar">', True), ('<div class="story with-comments">', True),
+    ('<article class="sidebar-left">', True), ('<div class="entry comments_closed category-social">', True),
+    ('<div class="site-footer">', False), ('<div id="comments" class="comments-area">', False), ('<div class="post tag-cloud">', False),
+    ('<div class="has-sidebar sidebar">', False), ('<div class="main-nav">', False), ('<div class=comments><article class=post>', False),
+])
+def test_names_about_the_page_are_not_furniture(opening, kept):
+    page = f"<body><nav><a href=/>Home</a></nav>{opening}<h1>Title</h1><p>A text of <a href=/x>some</a> words stands here.</p>"
+    assert html_blocks.main_text(page, html_blocks.fit_tree()) == ("Title A text of some words stands here." if kept else "")
+
+
 def test_repeated_windows_by_brute_force():
     rng = random.Random(1)
     for _ in range(300):
