@@ -50,6 +50,19 @@ def test_every_operator_takes_odd_rows_and_empty_tables(spark):
         assert containment.contained_items(docs, docs.withColumnRenamed("doc_id", "item_id")).count() >= 0
 
 
+@pytest.mark.parametrize("texts", [ODD, []])
+def test_odd_rows_and_empty_tables_to_the_end(spark, tmp_path, texts):
+    docs = frame(spark, texts)
+    orc_tokens.write_tokens(docs, str(tmp_path / "t"), tokenizer_file("byte_bpe_50k.json"), 2)
+    back = orc_tokens.with_checksum(orc_tokens.read_tokens(spark, str(tmp_path / "t"))).collect()
+    assert sorted(r.doc_id for r in back) == list(range(len(texts)))
+    got = containment.contained_items(docs, docs.withColumnRenamed("doc_id", "item_id")).collect()
+    rows = list(enumerate(texts))
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted(brute_containment(rows, rows)) and bool(got) == bool(texts)
+    found = backoff_langid.predict_language(docs, backoff_langid.train_languages(docs)).collect()
+    assert len(found) == len(texts)
+
+
 def test_html_main_text(spark):
     tree = html_blocks.fit_tree()
     page = ("<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One &amp; two<br>three</p>"

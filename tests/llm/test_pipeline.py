@@ -4,8 +4,10 @@
 import random
 
 import numpy as np
+import pytest
 import tiktoken
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyspark.llm import boosted_quality, byte_bpe, deobfuscated_pii
@@ -52,3 +54,14 @@ def test_near_copies_of_the_stage_are_those_of_five_words_and_80_percent(spark):
     want, four = ({i for i, (n, c) in brute_components(rows, *p).items() if n == 0 or c == i} for p in ((5, 80), (4, 85)))
     got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, frame(spark, texts), SF).collect()}
     assert got == want and want < four
+
+
+@pytest.mark.parametrize("texts", [[None, "", "x", "x", "a b c d e f g h", "a b c d e f g h"], []])
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path, texts):
+    docs = frame(spark, texts)
+    docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, columns in (("labels", "doc_id long, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) <= docs.count() and bool(rows) == bool(texts)
