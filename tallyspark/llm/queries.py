@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import (backoff_langid, boosted_quality, byte_bpe, column_bwt, compression_bands, containment, deobfuscated_pii, html_blocks,
-               orc_tokens, prefix_tree_join)
+from . import (backoff_langid, boosted_quality, byte_bpe, column_bwt, compression_bands, containment, deobfuscated_pii, hard_negatives,
+               html_blocks, orc_tokens, prefix_tree_join)
 from .common import crc_fold, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,13 @@ def op10_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_tree_join.ngram_components(read_table(spark, folder, "documents"))
 
 
+@_query
+def op13_strassen_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
 @_query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
@@ -127,3 +134,18 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id
 FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
+
+SQL["op13_strassen_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
