@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import (backoff_langid, boosted_quality, byte_bpe, column_bwt, compression_bands, containment, deobfuscated_pii, hard_negatives,
-               html_blocks, orc_tokens, prefix_tree_join)
+from . import (backoff_langid, boosted_quality, byte_bpe, column_bwt, compression_bands, containment, deobfuscated_pii, fill_in_middle,
+               hard_negatives, html_blocks, orc_tokens, prefix_tree_join)
 from .common import crc_fold, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,13 @@ def op10_prefix_tree_join(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_tree_join.ngram_components(read_table(spark, folder, "documents"))
 
 
+@_query
+def op11_exception_index_fim(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read_table(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored_text(), 256).alias("restored_sha256"))
+
+
 @_query
 def op13_strassen_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings")
@@ -149,3 +156,18 @@ SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id,
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
 """
+
+SQL["op11_exception_index_fim"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+i AS (SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+             ('0x' || substr(h, 17, 8))::BIGINT % 100 AS z, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS o FROM h),
+c AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+             CASE WHEN n = 0 OR z >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                  WHEN o < 20 THEN 'spm' ELSE 'psm' END AS form FROM i),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
