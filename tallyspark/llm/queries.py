@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import (backoff_langid, boosted_quality, byte_bpe, column_bwt, compression_bands, containment, deobfuscated_pii, fill_in_middle,
-               hard_negatives, html_blocks, orc_tokens, prefix_tree_join)
+               hard_negatives, html_blocks, orc_tokens, pattern_packing, prefix_tree_join)
 from .common import crc_fold, read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,14 @@ def op11_exception_index_fim(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(fill_in_middle.restored_text(), 256).alias("restored_sha256"))
 
 
+@_query
+def op12_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "pieces")
+    pattern_packing.write_pieces(read_table(spark, folder, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    pieces = spark.read.parquet(path).withColumn("ids_crc32", F.crc32("ids"))
+    return pattern_packing.pack_pieces(pieces, payload=("ids_crc32",))
+
+
 @_query
 def op13_strassen_negatives(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings")
