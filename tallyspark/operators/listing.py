@@ -19,6 +19,7 @@ from ..functions.stats import ratio
 from ..functions.text import language_tag, nfkc, normalize_text
 from ..session import cut_lineage, spread
 from .distributed import exact_quantiles, first_n_per_group, lookup, running_total
+from .similarity import SimilarityPolicy, similar_groups
 
 UNKNOWN = "UNKNOWN"
 
@@ -304,25 +305,23 @@ def reclassify_unknown(
 
 # --- unknown pool ----------------------------------------------------------------------------------------
 
-def word_fingerprint(text: Column) -> Column:
-    """Hash of the sorted distinct words; case, order, repetition and punctuation vanish."""
-    return F.sha2(F.array_join(F.sort_array(F.array_distinct(words(normalize_text(text)))), " "), 256)
+def word_fingerprint(found: Column) -> Column:
+    """128 bits of the sorted distinct words; order and repetition vanish."""
+    return F.unhex(F.substring(F.sha2(F.array_join(F.sort_array(F.array_distinct(found)), " "), 256), 1, 32))
 
 
-def near_duplicates(listings: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, representative, copies): listings with the same words, the smallest id represents.
+def near_duplicates(listings: DataFrame, key: str, text: str, policy: SimilarityPolicy = SimilarityPolicy()) -> DataFrame:
+    """(key, representative, copies): groups of near-duplicate listings, each represented by its smallest id.
 
-    Grouping by fingerprint is exact and pre-aggregates, however many copies there are. Only
-    fingerprints with copies are looked up again, the heaviest of them by broadcast.
+    Two listings are near duplicates when they have the same words in any order, or when the sets of their five-word shingles
+    have a Jaccard similarity of ``policy.percent`` or more (listings of fewer words: the set of their words); a group holds all
+    that are connected by such pairs. Listings without words are copies of each other.
     """
-    # The texts are read and hashed once; what follows works on the narrow result.
-    marked = cut_lineage(spread(listings.select(key, text)).select(key, word_fingerprint(F.col(text)).alias("fingerprint")))
-    groups = marked.groupBy("fingerprint").agg(
-        F.min(key).alias("representative"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    found = lookup(marked, groups, "fingerprint", "copies", "left")
-    return found.select(
-        key, F.coalesce("representative", key).alias("representative"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "fingerprint")
+    split = spread(listings.select(key, text)).select(key, words(normalize_text(F.coalesce(F.col(text), F.lit("")))).alias("__words"))
+    found = similar_groups(split, F.col("__words"), word_fingerprint(F.col("__words")), policy)
+    grouped = cut_lineage(found.select(key, "__group"))
+    groups = grouped.groupBy("__group").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("copies"))
+    return lookup(grouped, groups, "__group", "copies").select(key, "representative", "copies")
 
 
 def cluster(vectors: DataFrame, key: str, k: int, seed: int = 17, max_iter: int = 20) -> DataFrame:

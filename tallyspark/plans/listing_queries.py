@@ -225,10 +225,21 @@ def reclassify_unknown(spark, folder):
 
 
 @query("near_duplicates", """
-WITH w AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ' ') AS f FROM documents)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY f) AS representative, count(*) OVER (PARTITION BY f) AS copies FROM w""")
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(nfc_normalize(coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, w, array_to_string(list_sort(list_distinct(w)), ' ') AS f FROM t),
+g AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN '# ' || f ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, f, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM f WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)
+      UNION SELECT x.doc_id, y.doc_id FROM f x JOIN f y ON x.f = y.f AND x.doc_id <> y.doc_id),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS representative FROM r GROUP BY a)
+SELECT doc_id, representative, count(*) OVER (PARTITION BY representative) AS copies FROM m""")
 def near_duplicates(spark, folder):
-    return ls.near_duplicates(table(spark, folder, "documents"), "doc_id", "text").drop("fingerprint")
+    return ls.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def _members(spark, folder):
