@@ -113,6 +113,25 @@ def test_late_turns_never_slip_behind_an_emitted_history(spark, tmp_path):
     assert got == {0: "", 2: "[customer] m0\n[brand] m1", 3: "[customer] m0\n[brand] m1\n[customer] m2"}
 
 
+def test_history_state_is_freed_after_the_idle_time(spark, tmp_path):
+    t0 = datetime(2026, 1, 1)
+    schema = "at timestamp, conversation_index long, turn_index long, author string, text string"
+    folder, state, sink = (str(tmp_path / p) for p in ("in", "state", "sink"))
+    held = []
+    for hour, conv, turn in ((0, 1, 0), (1, 1, 1), (30, 2, 0), (60, 3, 0), (60.1, 1, 2), (90, 4, 0)):
+        row = (t0 + timedelta(hours=hour), conv, turn, "customer", f"c{conv}t{turn}")
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+        append_available(history_stream(read_files(spark, folder, schema), "10 minutes", "1 day"), sink, state)
+        keys = set()
+        for name in ("waiting", "past", "newest"):
+            read = spark.read.format("statestore").option("stateVarName", name).load(state)
+            keys |= {r[0] for r in read.select("key.*").collect()}
+        held.append(keys)
+    assert held == [{1}, {1}, {2}, {3}, {1, 3}, {4}]
+    got = {(r.conversation_index, r.turn_index): r.history for r in spark.read.parquet(sink).collect()}
+    assert got == {(1, 0): "", (1, 1): "[customer] c1t0", (2, 0): "", (3, 0): "", (1, 2): ""}
+
+
 def test_session_limits_and_gap(spark):
     e = spark.createDataFrame([(1, datetime(2026, 1, 1, h, m)) for h, m in ((0, 0), (0, 30), (2, 0))], "u int, ts timestamp")
     assert sorted(r.events for r in sessions(e, "u", "ts", 3600).collect()) == [1, 2]
