@@ -43,13 +43,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     the bucket that holds each wanted rank; only those buckets are ordered.
     Keys without a single non-null value do not appear. Null keys are kept.
     """
-    keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(_as_key(keys).alias("__k"), F.col(value).cast("double").alias("__v"))
+        .select(_as_key(list(keys)).alias("__k"), F.col(value).cast("double").alias("__v"))
         .groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", _order_bucket(F.col("__v")))
     )
+    return _quantiles(counts, list(keys), probs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str, probs: Mapping[str, float]) -> DataFrame:
+    """The same from rows that already are one for each (keys, non-null value), with how often it occurs."""
+    named = counts.select(_as_key(list(keys)).alias("__k"), F.col(value).cast("double").alias("__v"), F.col(count).alias("__c"))
+    return _quantiles(named, list(keys), probs)
+
+
+def _quantiles(counts: DataFrame, keys: list[str], probs: Mapping[str, float]) -> DataFrame:
+    counts = counts.withColumn("__b", _order_bucket(F.col("__v")))
     per_key = W.partitionBy("__k")
     upto = F.sum("__n").over(per_key.orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
     buckets = counts.groupBy("__k", "__b").agg(F.sum("__c").alias("__n")).select(

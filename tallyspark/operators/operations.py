@@ -1,8 +1,8 @@
 """Delivery operations: interval metrics, month comparison, hotspots, watch-outs.
 
-Counters are first reduced to one row per (group, day). That makes the number of
-active days a plain count, keeps every partial result additive, and bounds what a
-hot group can send to a shuffle by the calendar instead of by its orders.
+The source is read once for each report and reduced to a written cube: (group, day, metric, value, count), in which an order's yes/no
+facts are one small number. Volumes, active days, completeness, signals, medians and rankings are all sums over the cube. Partial
+results are additive, so a hot group sends its calendar and its distinct values to a shuffle, not its orders.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..functions.text import keyword_signal
 from ..session import cut_lineage
 from . import checks
 from .checks import ContractError
-from .distributed import exact_quantiles, join_null_safe
+from .distributed import join_null_safe, quantiles_of_counts
 
 # --- fixed values: columns, metrics, terms and names of the operations contract ---
 SOURCE_COLUMNS = (
@@ -128,21 +128,22 @@ def _month_start(day: date, back: int) -> datetime:
     return datetime(months // 12, months % 12 + 1, 1)
 
 
-def period_window(df: DataFrame, period: str, anchor: datetime | None = None) -> DateWindow:
+def period_window(source: DataFrame | Cube, period: str, anchor: datetime | None = None) -> DateWindow:
     """A named period as two literals, so that the scan can prune on them.
 
     Months are counted back from ``anchor`` or, without one, from the newest row;
-    the clock of the machine is never read.
+    the clock of the machine is never read. A cube knows its days, so it saves the source another scan.
     """
     if period not in PERIODS:
         raise ContractError(f"Unsupported period: {period}")
+    df, time = (source.df, "day") if isinstance(source, Cube) else (source, "CreatedDate")
     if period == "all_time":
-        low, high = df.agg(F.min("CreatedDate"), F.max("CreatedDate")).first()
+        low, high = df.agg(F.min(time), F.max(time)).first()
         if low is None:
             raise ContractError("No orders exist.")
         floor = lambda t: datetime(t.year, t.month, t.day)
         return DateWindow(period, floor(low), floor(high) + timedelta(days=1))  # all rows, whatever the anchor
-    newest = anchor or df.agg(F.max("CreatedDate")).first()[0]
+    newest = anchor or df.agg(F.max(time)).first()[0]
     if newest is None:
         raise ContractError("No orders exist.")
     back = 1 if period == "latest_complete_month" else 2
@@ -155,21 +156,65 @@ def in_window(window: DateWindow) -> Column:
 
 # --- building blocks ------------------------------------------------------------------
 
-def _day() -> Column:
-    return F.to_date("CreatedDate").alias("day")
+ORDERS = "#"  # the cube's rows that count orders; their value is the sum of the facts below
 
 
-def _daily(df: DataFrame, keys: Sequence[str | Column], policy: AnalysisPolicy) -> DataFrame:
-    """Additive counters per (keys, day)."""
-    long_delivery = F.coalesce(F.col("delivery_duration_minutes") > policy.long_delivery_minutes, F.lit(False))
-    return df.groupBy(*keys, _day()).agg(
-        F.count(F.lit(1)).alias("orders"),
-        *[F.count(m).alias(f"valid_{m}") for m in METRICS],
-        F.count_if(long_delivery).alias("long_orders"),
-        F.count_if(F.col("CustomerRatingAverage") <= LOW_RATING).alias("low_rating_orders"),
-        F.count_if("has_customer_comment").alias("comments"),
-        F.count_if("late_comment_signal").alias("late_comment_signals"),
-    )
+@dataclass(frozen=True)
+class Cube:
+    """(keys, metric, day, value, n): how many orders of a group had a value; written, so it is read, never worked out again.
+
+    Rows of the metric ORDERS count orders by day and by their facts instead, each fact a bit of the value. Other rows have no day:
+    a report that compares periods has the period among its keys.
+    """
+
+    df: DataFrame
+    keys: tuple[str, ...]
+
+
+def _facts(policy: AnalysisPolicy) -> dict[str, Column]:
+    return {
+        **{f"valid_{m}": F.col(m).isNotNull() for m in METRICS},
+        "long_orders": F.coalesce(F.col("delivery_duration_minutes") > policy.long_delivery_minutes, F.lit(False)),
+        "low_rating_orders": F.coalesce(F.col("CustomerRatingAverage") <= LOW_RATING, F.lit(False)),
+        "comments": F.coalesce(F.col("has_customer_comment"), F.lit(False)),
+        "late_comment_signals": F.coalesce(F.col("late_comment_signal"), F.lit(False)),
+    }
+
+
+def build_cube(
+    df: DataFrame, keys: Sequence[str], policy: AnalysisPolicy, values: Sequence[str] = tuple(METRICS), values_where: Column | None = None,
+) -> Cube:
+    """Reduce orders to a cube in one pass over ``df``.
+
+    ``values`` are the metrics whose values are kept (for medians), and only from rows of ``values_where``; the facts of all
+    orders are.
+    """
+    bits = sum((F.when(fact, F.lit(float(1 << k))).otherwise(F.lit(0.0)) for k, fact in enumerate(_facts(policy).values())), F.lit(0.0))
+    wanted = F.lit(True) if values_where is None else values_where
+    no_day = F.lit(None).cast("date")
+    cells = F.array(
+        F.struct(F.lit(ORDERS).alias("metric"), F.to_date("CreatedDate").alias("day"), bits.alias("value")),
+        *[F.struct(F.lit(m).alias("metric"), no_day.alias("day"), F.when(wanted, F.col(m)).alias("value")) for m in values])
+    rows = df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.metric", "c.day", "c.value")
+    counted = rows.where("value is not null").groupBy(*keys, "metric", "day", "value").agg(F.count(F.lit(1)).alias("n"))
+    return Cube(cut_lineage(counted), tuple(keys))
+
+
+def _counters(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, orders, the facts' counts, active_days) from a cube's order rows."""
+    facts = list(_facts(AnalysisPolicy()))
+    bits = F.col("value").cast("int")
+    daily = orders.groupBy(*keys, "day").agg(
+        F.sum("n").alias("orders"), *[F.sum(F.when(bits.bitwiseAND(F.lit(1 << k)) != 0, F.col("n"))).alias(f) for k, f in enumerate(facts)])
+    return daily.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("orders", *facts)], F.count("day").alias("active_days"))
+
+
+def _order_rows(cube: Cube) -> DataFrame:
+    return cube.df.where(F.col("metric") == ORDERS)
+
+
+def _value_rows(cube: Cube) -> DataFrame:
+    return cube.df.where(F.col("metric") != ORDERS)
 
 
 def _some(orders: str, window: DateWindow) -> Column:
@@ -210,15 +255,13 @@ def data_scope(df: DataFrame) -> DataFrame:
     )
 
 
-def operations_summary(df: DataFrame, window: DateWindow, policy: AnalysisPolicy = AnalysisPolicy()) -> DataFrame:
-    """One row per metric with volume, completeness, median, p90 and the period's signals."""
-    data = df.where(in_window(window))
-    totals = _daily(data, [], policy).agg(
-        F.sum("orders").alias("orders"),
-        *[F.sum(f"valid_{m}").alias(f"valid_{m}") for m in METRICS],
-        F.count("day").alias("active_days"),
-        *[F.sum(c).alias(c) for c in ("low_rating_orders", "comments", "late_comment_signals")],
-    ).where(_some("orders", window))
+def operations_summary(source: DataFrame | Cube, window: DateWindow, policy: AnalysisPolicy = AnalysisPolicy()) -> DataFrame:
+    """One row per metric with volume, completeness, median, p90 and the period's signals.
+
+    ``source`` are orders, or a cube of the window's orders without keys.
+    """
+    cube = source if isinstance(source, Cube) else build_cube(source.where(in_window(window)), (), policy)
+    totals = _counters(_order_rows(cube), ()).where(_some("orders", window))
     per_metric = totals.select(
         "orders", "active_days", "low_rating_orders", "comments", "late_comment_signals",
         F.explode(F.array(*[
@@ -227,7 +270,7 @@ def operations_summary(df: DataFrame, window: DateWindow, policy: AnalysisPolicy
     ).select("*", "m.*").drop("m").withColumn(
         "completeness", ratio(F.col("valid_observations"), F.col("orders"))
     )
-    quantiles = exact_quantiles(metric_rows(data), ["metric"], "value", {"median_minutes": 0.5, "p90_minutes": 0.9})
+    quantiles = quantiles_of_counts(_value_rows(cube), ["metric"], "value", "n", {"median_minutes": 0.5, "p90_minutes": 0.9})
     return per_metric.join(quantiles, "metric", "left").select(
         F.lit(window.label).alias("period"), "metric", "orders", "valid_observations", "active_days",
         "completeness", "median_minutes", "p90_minutes",
@@ -241,27 +284,26 @@ def operations_summary(df: DataFrame, window: DateWindow, policy: AnalysisPolicy
 _SIDES = ("current", "previous")
 
 
+def _with_side(df: DataFrame, current: DateWindow, previous: DateWindow) -> DataFrame:
+    return df.withColumn("side", F.when(in_window(current), "current").when(in_window(previous), "previous"))
+
+
 def compare_branches(
-    df: DataFrame, metric: str, current: DateWindow, previous: DateWindow,
+    source: DataFrame | Cube, metric: str, current: DateWindow, previous: DateWindow,
     policy: AnalysisPolicy = AnalysisPolicy(), key: str = "BranchID",
 ) -> DataFrame:
     """Every branch seen in both periods, with medians, change, floor verdict and strength.
 
-    Both periods share one scan and one aggregation; a null branch is a group too.
+    Both periods share one scan and one aggregation; a null branch is a group too. ``source`` are orders, or a cube by ``key`` and side.
     """
     if metric not in METRICS:
         raise ContractError(f"Unsupported metric: {metric}")
-    side = F.when(in_window(current), "current").when(in_window(previous), "previous")
-    data = df.where(in_window(current) | in_window(previous)).select(
-        key, "CreatedDate", F.col(metric).alias("value"), side.alias("side")
-    )
-    counters = (
-        data.groupBy(key, "side", _day())
-        .agg(F.count(F.lit(1)).alias("orders"), F.count("value").alias("valid"))
-        .groupBy(key, "side")
-        .agg(F.sum("orders").alias("orders"), F.sum("valid").alias("valid"), F.count("day").alias("days"))
-    )
-    medians = exact_quantiles(data, [key, "side"], "value", {"median": 0.5})
+    cube = source if isinstance(source, Cube) else build_cube(
+        _with_side(source.where(in_window(current) | in_window(previous)), current, previous), [key, "side"], policy, [metric])
+    compared = Cube(cube.df.where("side is not null"), cube.keys)
+    counters = _counters(_order_rows(compared), [key, "side"]).select(
+        key, "side", "orders", F.col(f"valid_{metric}").alias("valid"), F.col("active_days").alias("days"))
+    medians = quantiles_of_counts(compared.df.where(F.col("metric") == metric), [key, "side"], "value", "n", {"median": 0.5})
     per_side = join_null_safe(counters, medians, [key, "side"], "left")
     picked = [
         F.max(F.when(F.col("side") == s, F.col(source))).alias(f"{s}_{target}")
@@ -319,30 +361,26 @@ def branch_delivery_change(
 
 
 def hotspots(
-    df: DataFrame, dimension: str, window: DateWindow,
+    source: DataFrame | Cube, dimension: str, window: DateWindow,
     policy: AnalysisPolicy = AnalysisPolicy(), limit: int | None = None,
 ) -> DataFrame:
     """Groups with the highest share of long deliveries, above their evidence floor.
 
     The ranking needs counters only, so medians are worked out afterwards and for
-    the at most 20 shown groups alone.
+    the at most 20 shown groups alone. ``source`` are orders, or a cube by the dimension's column.
     """
     if dimension not in DIMENSIONS:
         raise ContractError(f"Unsupported dimension: {dimension}")
-    column = DIMENSIONS[dimension]
+    column, duration = DIMENSIONS[dimension], "delivery_duration_minutes"
     floor = policy.min_comparison_orders if dimension in ("branch", "hour") else evidence.SMALL_GROUP_FLOOR
     shown = min(limit or policy.max_results, evidence.RESULT_LIMIT_MAX)
-    data = df.where(in_window(window) & F.col(column).isNotNull()).withColumn("group", F.col(column))
-    # One row per group, written once: the ranking, the counts and the medians all start from it.
-    groups = cut_lineage(_daily(data, ["group"], policy).groupBy("group").agg(
-        F.sum("orders").alias("orders"),
-        F.sum("valid_delivery_duration_minutes").alias("valid_delivery_observations"),
-        F.count("day").alias("active_days"),
-        F.sum("long_orders").alias("long_delivery_orders"),
-        F.sum("late_comment_signals").alias("late_comment_signals"),
-        F.sum("comments").alias("comments"),
-    ).withColumn("completeness", F.col("valid_delivery_observations") / F.col("orders")))
-    eligible = groups.where(
+    cube = source if isinstance(source, Cube) else build_cube(
+        source.where(in_window(window) & F.col(column).isNotNull()), [column], policy, [duration])
+    rows = cube.df.where(F.col(column).isNotNull()).withColumnRenamed(column, "group")
+    # One row per group, written once: the ranking and the counts start from it.
+    groups = cut_lineage(_counters(_order_rows(Cube(rows, ("group",))), ["group"]).withColumn("valid_delivery_observations", F.col(f"valid_{duration}"))
+                         .withColumn("completeness", F.col("valid_delivery_observations") / F.col("orders")))
+    eligible = groups.withColumnRenamed("long_orders", "long_delivery_orders").where(
         (F.col("valid_delivery_observations") >= floor) & (F.col("completeness") >= policy.min_completeness)
     )
     ranked = eligible.withColumn(
@@ -350,11 +388,9 @@ def hotspots(
     ).orderBy(F.desc("long_delivery_rate"), F.desc("long_delivery_orders"), F.asc("group")).limit(shown)
     # At most RESULT_LIMIT_MAX rows come to the driver; as literals their groups reach the scan.
     top, fit = ranked.collect(), eligible.count()
-    medians = exact_quantiles(
-        data.where(F.col(column).isin([r["group"] for r in top])),
-        ["group"], "delivery_duration_minutes", {"median_delivery_minutes": 0.5},
-    )
-    ranked = df.sparkSession.createDataFrame(top, ranked.schema)
+    medians = quantiles_of_counts(
+        rows.where((F.col("metric") == duration) & F.col("group").isin([r["group"] for r in top])), ["group"], "value", "n", {"median_delivery_minutes": 0.5})
+    ranked = rows.sparkSession.createDataFrame(top, ranked.schema)
     return ranked.join(medians, "group", "left").select(
         F.lit(window.label).alias("period"), F.lit(dimension).alias("dimension"),
         F.col("group").cast("string").alias("group"), "orders", "valid_delivery_observations", "active_days",
@@ -380,13 +416,14 @@ def watchouts(
 ) -> DataFrame:
     """The monthly report as (section, item, measure, value) rows.
 
-    One pass reduces the whole table to days; both months, the signals and the
-    all-time data-quality counts are sums over that calendar-sized frame.
+    One pass reduces the whole table to a cube by branch; both months, the signals, the all-time data-quality counts and the
+    branch comparison are read from it. Values are kept for the two months only.
     """
-    day_in = lambda w: (F.col("day") >= F.lit(w.start.date())) & (F.col("day") < F.lit(w.end.date()))
-    now, before = day_in(current), day_in(previous)
+    now, before = F.col("side") == "current", F.col("side") == "previous"
     duration = "delivery_duration_minutes"
-    total = _daily(df, [], policy).agg(
+    cube = build_cube(_with_side(df, current, previous), ["BranchID", "side"], policy, [duration], F.col("side").isNotNull())
+    daily = _counters(_order_rows(cube), ["side", "day"])
+    total = daily.agg(
         F.sum(F.when(now, F.col("orders"))).alias("orders"),
         F.sum(F.when(before, F.col("orders"))).alias("previous_orders"),
         F.sum(F.when(now, F.col(f"valid_{duration}"))).alias("valid_observations"),
@@ -399,7 +436,8 @@ def watchouts(
     )
     # A month without orders cannot be reported on.
     total = total.where(_some("orders", current)).where(_some("previous_orders", previous))
-    spread = exact_quantiles(df.where(in_window(current)), [], duration, {"median_minutes": 0.5, "p90_minutes": 0.9})
+    observed = cube.df.where(now & (F.col("metric") == duration)).groupBy("value").agg(F.sum("n").alias("n"))
+    spread = quantiles_of_counts(observed, (), "value", "n", {"median_minutes": 0.5, "p90_minutes": 0.9})
     rate, previous_rate = F.col("low") / F.col("orders"), F.col("previous_low") / F.col("previous_orders")
     facts = {
         ("overall_delivery", duration, "orders"): F.col("orders"),
@@ -422,7 +460,7 @@ def watchouts(
             for (s, i, m), v in cells.items()
         ])).alias("r")).select("r.*")
 
-    comparison = cut_lineage(compare_branches(df, duration, current, previous, policy))
+    comparison = cut_lineage(compare_branches(cube, duration, current, previous, policy))
     rises = as_rows(
         largest_increases(comparison, top),
         {("largest_increases", "branch", m): F.col(m) for m in ("change_minutes", "change_percent")},
@@ -460,10 +498,13 @@ def analyze(
         raise ContractError(f"limit must be between 1 and {evidence.RESULT_LIMIT_MAX}")
     if analysis == "data_scope":
         return data_scope(df)
-    if analysis == "operations_summary":
-        return operations_summary(df, period_window(df, period, anchor), policy)
-    if analysis == "late_order_hotspots":
-        return hotspots(df, dimension, period_window(df, period, anchor), policy, limit)
+    if analysis in ("operations_summary", "late_order_hotspots"):
+        summary = analysis == "operations_summary"
+        # All orders are in the cube then, and its days tell the period.
+        source = df if period != "all_time" else build_cube(df, (), policy) if summary else build_cube(
+            df, [DIMENSIONS[dimension]], policy, ["delivery_duration_minutes"])
+        window = period_window(source, period, anchor)
+        return operations_summary(source, window, policy) if summary else hotspots(source, dimension, window, policy, limit)
     current = period_window(df, "latest_complete_month", anchor)
     previous = period_window(df, "previous_complete_month", anchor)
     if analysis == "branch_delivery_change":

@@ -117,8 +117,7 @@ def operations_summary(spark, folder):
     "", "(SELECT strftime(min(created), '%Y-%m-%d') || ' to ' || strftime(max(created), '%Y-%m-%d') FROM ops)",
     ALL_TIME_POLICY))
 def operations_summary_all_time(spark, folder):
-    df = _orders(spark, folder)
-    return rounded(ops.operations_summary(df, ops.period_window(df, "all_time"), ALL_TIME_POLICY))
+    return rounded(ops.analyze(_orders(spark, folder), "operations_summary", period="all_time", policy=ALL_TIME_POLICY))
 
 
 def _compare_sql(metric: str, p: AnalysisPolicy) -> str:
@@ -205,8 +204,7 @@ ops AS (
 
 def _hotspot(facts, dimension, policy):
     def run(spark, folder):
-        df = facts(spark, folder)
-        return rounded(ops.hotspots(df, dimension, ops.period_window(df, "all_time"), policy))
+        return rounded(ops.analyze(facts(spark, folder), "late_order_hotspots", period="all_time", dimension=dimension, policy=policy))
     return run
 
 

@@ -167,3 +167,16 @@ def test_no_orders_in_the_period(frame):
     now, _ = windows(frame)
     with pytest.raises(PySparkException, match="No orders exist for 2026-06-01"):
         ops.operations_summary(empty, now, POLICY).count()
+
+
+def test_reports_read_their_source_once(spark, tmp_path, frame):
+    """What a report returns reads its cube; the source, several tables here, is behind it and read once."""
+    frame.write.parquet(str(tmp_path / "orders"))
+    orders = spark.read.parquet(str(tmp_path / "orders"))
+    now, before = windows(frame)
+    reports = (ops.operations_summary(orders, now, POLICY), ops.compare_branches(orders, "delivery_duration_minutes", now, before, POLICY),
+               ops.hotspots(orders, "branch", now, POLICY), ops.watchouts(orders, now, before, POLICY),
+               ops.analyze(orders, "operations_summary", period="all_time", policy=POLICY))
+    for report in reports:
+        files = {f.rsplit("/", 2)[-2] for f in report.inputFiles()}
+        assert "orders" not in files
