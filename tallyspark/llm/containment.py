@@ -64,11 +64,19 @@ def item_table(items: DataFrame, item: str, text: str, policy: ContainmentPolicy
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                     item_text: str = "text", policy: ContainmentPolicy = ContainmentPolicy()) -> DataFrame:
     """(key, item, n_item, n_found): every document and the items it contains at ``percent`` or more."""
+    found = _found(docs, items, key, text, item, item_text, policy)
+    best = F.max_by(F.struct("n_item", "n_found"), F.col("n_found") / F.col("n_item"))
+    return found.groupBy("key", "item").agg(best.alias("b")).select(
+        F.col("key").alias(key), F.col("item").alias(item), F.col("b.n_item").cast("long").alias("n_item"), F.col("b.n_found").alias("n_found"))
+
+
+def _found(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, policy: ContainmentPolicy) -> DataFrame:
+    """(key, row, item, item_row, n_item, n_found); ``row`` are 128 bits of the text, which with the key name a document."""
     table = item_table(items, item, item_text, policy)
     word_hash = F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(k)) for k in range(policy.words)])
     signature = table.where("in_signature").select(word_hash.alias("h")).distinct()
     words = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("key"), F.xxhash64(text).alias("row"), _words(F.col(text)).alias("w"))
+        F.col(key).alias("key"), F.unhex(F.md5(text)).alias("row"), _words(F.col(text)).alias("w"))
     hashed = words.withColumn("hashes", _shingles(F.col("w"), policy.words, False))
     hashes = [r[0] for r in signature.limit(policy.literal_hashes + 1).collect()]
     if len(hashes) <= policy.literal_hashes:
@@ -78,18 +86,21 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     else:
         met = hashed.select("key", "row", F.explode("hashes").alias("h")).join(signature, "h", "left_semi").select("key", "row").distinct()
         candidates = words.join(met, words.key.eqNullSafe(met.key) & (words.row == met.row), "left_semi")
-    found = (
+    return (
         candidates.select("key", "row", F.explode(_shingles(F.col("w"), policy.words, True)).alias("shingle"))
         .join(table.select("item", "item_row", "n_item", "shingle"), "shingle")
         .groupBy("key", "row", "item", "item_row", "n_item").agg(F.count_distinct("shingle").alias("n_found"))
         .where(F.col("n_found") * 100 >= F.col("n_item") * policy.percent)
     )
-    best = F.max_by(F.struct("n_item", "n_found"), F.col("n_found") / F.col("n_item"))
-    return found.groupBy("key", "item").agg(best.alias("b")).select(
-        F.col("key").alias(key), F.col("item").alias(item), F.col("b.n_item").cast("long").alias("n_item"), F.col("b.n_found").alias("n_found"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **names) -> DataFrame:
-    """The documents that contain no item."""
-    leaks = contained_items(docs, items, key=key, **names).select(F.col(key).alias("__leak")).distinct()
-    return docs.join(leaks, docs[key].eqNullSafe(leaks["__leak"]), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+                  item_text: str = "text", policy: ContainmentPolicy = ContainmentPolicy()) -> DataFrame:
+    """The documents that contain no item. Rows are named by id and text, so a null or repeated id takes no other row with it."""
+    # Structs with null fields equal each other, so this is a plain equi-join.
+    leaks = _found(docs, items, key, text, item, item_text, policy).select(
+        F.struct(F.col("key").alias("id"), F.col("row").alias("tid")).alias("name")).distinct()
+    # The row travels as one value: its columns may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(
+        F.col(f"`{key}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`"))).alias("tid")).alias("name"))
+    return rows.join(leaks, "name", "left_anti").select("row.*")

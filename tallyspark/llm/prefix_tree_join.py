@@ -23,13 +23,14 @@ smallest document id reachable; null ids take part and are reported only if noth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_texts, text_slices, written
 from .components import connected_components
@@ -142,12 +143,18 @@ def heavy_grams(docs: DataFrame, text: str, policy: JoinPolicy) -> np.ndarray:
     return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
+def text_name(text: str) -> Column:
+    """128 bits of a text: with the id it names a row, since ids may be null or repeated."""
+    return F.unhex(F.md5(F.col(f"`{text}`")))
+
+
 def document_sets(docs: DataFrame, heavy: np.ndarray, key: str, text: str, policy: JoinPolicy) -> DataFrame:
-    """(key, digest, cid, n, p, whole, head): the class of each document and what it posts.
+    """(key, tid, digest, cid, n, p, whole, head): the class of each document and what it posts.
 
     ``p`` is how many n-grams a partner may lack, ``whole`` tells that the head is the whole set.
     """
     limit = np.uint64(int(policy.head_share * 2**64))
+    named = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text), text_name(text).alias("tid"))
 
     def make():
         def work(texts):
@@ -167,14 +174,14 @@ def document_sets(docs: DataFrame, heavy: np.ndarray, key: str, text: str, polic
 
         return work
 
-    return map_texts(docs, [text], "digest binary, cid long, n long, p long, whole boolean, head array<long>", make, (key,))
+    return map_texts(named, [text], "digest binary, cid long, n long, p long, whole boolean, head array<long>", make, (key, "tid"))
 
 
-def overlap_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Index pairs (i < j) of sets that link, by one walk over the trie of all sets."""
+def overlap_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j > i that link with it) by one walk over the trie of all sets; a caller unites them as they come."""
     m = len(sets)
     if m < 2:
-        return []
+        return
     sizes = np.array(list(map(len, sets)), np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
     kinds, code, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -194,7 +201,6 @@ def overlap_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
         short = min(len(a), len(b))
         differ = np.flatnonzero(a[:short] != b[:short])
         lcp[k] = int(differ[0]) if len(differ) else short
-    links = []
     saved: list[tuple[int, np.ndarray]] = [(0, np.zeros(m, np.int64))]
     for k, i in enumerate(order):
         while saved[-1][0] > lcp[k]:
@@ -202,9 +208,9 @@ def overlap_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
         depth, overlap = saved[-1][0], saved[-1][1].copy()
         # Depths at which later paths leave this one.
         stops, low = [], sizes[i] + 1
-        for later in lcp[k + 1:m]:
-            if later < low:
-                low = later
+        for later in range(k + 1, m):
+            if lcp[later] < low:
+                low = lcp[later]
                 stops.append(low)
             if low <= depth:
                 break
@@ -226,8 +232,8 @@ def overlap_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
                     break
         if far:
             good = np.flatnonzero(overlap >= need)
-            links += [(i, int(j)) for j in good if j > i]
-    return links
+            if good[-1] > i:
+                yield i, good[good > i]
 
 
 def _pair_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -235,20 +241,26 @@ def _pair_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: JoinPolicy = JoinPolicy()) -> DataFrame:
-    """(key, n_shingles, component_id) for every row of ``docs``."""
+def _groups(docs: DataFrame, key: str, text: str, policy: JoinPolicy) -> DataFrame:
+    """(key, tid, n_shingles, g): every row with its group, null where the set is empty."""
     rows = written(document_sets(docs, heavy_grams(docs, text, policy), key, text, policy), "ngram-sets")
+    # A class is read again by one of its rows, named by id and text.
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min(key).alias("first_id"), *[F.first(c).alias(c) for c in ("cid", "n", "p", "whole", "head")])
+        F.min(F.struct(F.col(key).alias("id"), "tid")).alias("first"), *[F.first(c).alias(c) for c in ("cid", "n", "p", "whole", "head")])
     classes = written(classes, "ngram-classes")
     links = _links(docs, classes, key, text, policy)
     label = connected_components(links)
-    members = rows.select(key, "digest", F.col("n").alias("n_shingles")).join(
+    members = rows.select(key, "tid", "digest", F.col("n").alias("n_shingles")).join(
         label.select(F.col("node").alias("digest"), "component"), "digest", "left")
-    group = F.coalesce("component", "digest")
+    return members.select(key, "tid", "n_shingles", F.coalesce("component", "digest").alias("g"))
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: JoinPolicy = JoinPolicy()) -> DataFrame:
+    """(key, n_shingles, component_id) for every row of ``docs``."""
+    members = _groups(docs, key, text, policy)
     # Documents of one component may be a third of all: the minimum is combined before its shuffle, and the way back is a join.
-    first = members.where(group.isNotNull()).groupBy(group.alias("g")).agg(F.min(key).alias("component_id"))
-    joined = members.withColumn("g", group).join(first, "g", "left")
+    first = members.where("g is not null").groupBy("g").agg(F.min(key).alias("component_id"))
+    joined = members.join(first, "g", "left")
     return joined.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
@@ -261,7 +273,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     seen = met.groupBy("cid").agg(F.count("*").alias("n_met"))
     alive = classes.join(seen, "cid").where(
         F.col("whole") | (F.size("head") - F.col("n_met") <= F.col("p")))
-    alive = written(alive.select("cid", "digest", "first_id", "n", "p", "whole", F.size("head").alias("h")), "ngram-alive")
+    alive = written(alive.select("cid", "digest", "first", "n", "p", "whole", F.size("head").alias("h")), "ngram-alive")
     met = written(met.join(alive.select("cid"), "cid", "left_semi"), "ngram-met")
 
     # Step 1: the forest of best sharers.
@@ -269,7 +281,8 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     votes = met.join(least, "gram").where("hub < cid").groupBy("cid", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("cid").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub"))
     forest = connected_components(best.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-    source = docs.select(F.col(key).alias("first_id"), F.col(text).alias("text"), F.length(text).alias("chars")).where(F.col("text").isNotNull())
+    source = docs.where(F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{key}`").alias("id"), text_name(text).alias("tid"), F.col(f"`{text}`").alias("text"), F.length(f"`{text}`").alias("chars"))
     bodies = _bodies(source, alive, policy)
     grouped = bodies.join(forest.withColumnRenamed("node", "cid"), "cid")
     blocks = grouped.groupBy("component").agg(F.ceil(F.sum("chars") / policy.block_chars).cast("int").alias("blocks"))
@@ -282,7 +295,6 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     def block_links(group: pd.DataFrame) -> pd.DataFrame:
         sets = shingle_sets(group["text"].tolist(), width)
         names = group["digest"].tolist()
-        pairs = overlap_links(sets, percent)
         root = list(range(len(names)))
 
         def find(i):
@@ -291,8 +303,11 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
                 i = root[i]
             return i
 
-        for i, j in pairs:
-            root[max(find(i), find(j))] = min(find(i), find(j))
+        for i, linked in overlap_links(sets, percent):
+            for j in linked.tolist():
+                a, b = find(i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
         star = [(names[i], names[find(i)]) for i in range(len(names)) if find(i) != i]
         return pd.DataFrame(star, columns=["a", "b"])
 
@@ -345,25 +360,23 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
 
 
 def _bodies(source: DataFrame, alive: DataFrame, policy: JoinPolicy) -> DataFrame:
-    """(cid, digest, text, chars): one text of every class that is left.
-
-    Documents are met by id, and the digest of what comes back tells the class: ids may repeat.
-    """
-    wanted = alive.select(F.col("first_id").alias("id"), "cid", "digest")
-    met = source.join(wanted, source["first_id"].eqNullSafe(wanted["id"]))
-
-    def make():
-        return lambda texts: {"own": [blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(texts, policy.width)]}
-
-    own = map_texts(met, ["text"], "own binary", make, ("cid", "digest", "text", "chars"))
-    return written(own.where("own = digest").drop("own").dropDuplicates(["digest"]), "ngram-bodies")
+    """(cid, digest, text, chars): one text of every class that is left, met by the id and text of the row that stands for it."""
+    wanted = alive.select(F.col("first.id").alias("want"), F.col("first.tid").alias("tid"), "cid", "digest")
+    met = source.join(wanted, (source["tid"] == wanted["tid"]) & source["id"].eqNullSafe(wanted["want"]))
+    return written(met.select("cid", "digest", "text", "chars").dropDuplicates(["digest"]), "ngram-bodies")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: JoinPolicy = JoinPolicy()) -> DataFrame:
-    """One document of every component, the one with the smallest id; documents without words all stay."""
-    groups = ngram_components(docs, key, text, policy)
-    # The id as text tells null from every value, so that one shuffle by it serves the join and the repeated rows.
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__name")
-    keep = groups.where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id"))).select(name).distinct()
-    kept = docs.withColumn("__name", name).join(keep, "__name", "left_semi")
-    return kept.dropDuplicates(["__name", text]).select(*docs.columns)
+    """One row of every component, one with the smallest id (null ids last, then by text); rows without words all stay.
+
+    Rows are named by id and text, so null and repeated ids are documents of their own; of rows equal in both one stays.
+    """
+    members = _groups(docs, key, text, policy).where("g is not null")
+    name = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.col("tid"))
+    winners = members.groupBy("g").agg(F.min(name).alias("name")).select("name")
+    # The row travels as one value: its columns may have any name.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(
+        F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), text_name(text).alias("tid")).alias("name"),
+        F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    kept = rows.where("worded").join(winners, "name", "left_semi").dropDuplicates(["name"])
+    return kept.select("row").unionByName(rows.where("not worded").select("row")).select("row.*")

@@ -137,8 +137,8 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) * 100 >= n_item * 80
 
 SQL["op10_prefix_tree_join"] = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, s FROM (
   SELECT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') || ' #' || len(w) ELSE array_to_string(w[i:i + 3], ' ') END AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0))),
