@@ -19,20 +19,28 @@ NEAR = prefix_tree_join.JoinPolicy(width=5, percent=80, head_share=0.32)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.3 or more; it learns from the labels of the documents given."""
-    stats = written(boosted_quality.document_statistics(docs), "statistics")
-    model = boosted_quality.fit_quality(stats, read_table(spark, sf_dir, "labels"))
+    """Documents that the classifier scores at 0.3 or more; it learns from the labels of the documents given.
+
+    Statistics are worked out first for the labelled documents that the fit may use, then once for each document as it is scored.
+    """
+    labels = read_table(spark, sf_dir, "labels").where("quality is not null")
+    most = boosted_quality.BoostPolicy().max_rows
+    # The fit takes the rows with the smallest hashes of their ids: no text is read to find which.
+    first = docs.select("doc_id").join(labels.select("doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    known = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id", "left_semi")
+    model = boosted_quality.fit_quality(written(boosted_quality.document_statistics(known), "statistics"), labels)
 
     def make():
         import numpy as np
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        return lambda texts: {"__score": model.score(np.array([boosted_quality.statistics(t, compress) for t in texts])).tolist()}
+        return lambda texts: {"score": model.score(np.array([boosted_quality.statistics(t, compress) for t in texts])).tolist()}
 
-    # Scored beside the whole row: ids need not be unique, and no join carries the texts.
-    scored = map_texts(docs.withColumn("__text", F.col("text")), ["__text"], "__score double", make, tuple(docs.columns))
-    return scored.where("__score >= 0.3").select(*docs.columns)
+    # Scored beside the whole row, which travels as one value: ids need not be unique, columns may have any name, no join carries texts.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    scored = map_texts(rows, ["text"], "score double", make, ("row",))
+    return scored.where("score >= 0.3").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
