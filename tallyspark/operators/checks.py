@@ -41,20 +41,40 @@ def invalid_timestamps(df: DataFrame, column: str) -> DataFrame:
     return df.where(as_timestamp(df, column).isNull())
 
 
-ISO_FORM = (r"^\d{4}(?:-\d{2}-\d{2}|\d{4})(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?"
-            r"(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+# Date (calendar or week, with or without hyphens), perhaps any one character and a time, perhaps an offset; times with or without colons.
+_CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,]\d+)?)?|(\d{2})(?:(\d{2})(?:[.,]\d+)?)?)?"
+ISO_FORM = (r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+            rf"(?:[\s\S]{_CLOCK}(?:Z|[+-]{_CLOCK})?)?$")
 
 
 def invalid_iso8601(df: DataFrame, column: str, nullable: bool = False) -> DataFrame:
     """Rows whose ISO-8601 text is not a time; null is allowed only where said.
 
-    The form is matched first (a whole date, with or without hyphens, and perhaps a time and an offset), since Spark's own
-    parser also takes years, months, single digits and times alone. Then the values are parsed.
+    The form is matched first, since Spark's own parser takes other texts too and refuses some of these: basic times, week
+    dates, separators other than T, offsets with seconds, long fractions. Then each part must lie in its range and the day in its month
+    or week year.
     """
-    text = F.regexp_replace(F.col(column), r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    bad = ~F.coalesce(F.col(column).rlike(ISO_FORM), F.lit(False)) | F.try_to_timestamp(text).isNull()
+    text = F.col(column)
+    # One match gives all parts, and an outer lambda binds them, so the text is matched once and the checks are small.
+    parts = F.when(text.rlike(ISO_FORM), F.split(F.regexp_replace(text, ISO_FORM, ",".join(f"${k}" for k in range(1, 20))), ","))
+
+    def right(part: Column) -> Column:
+        number = [None, *(F.try_to_number(F.nullif(F.get(part, k), F.lit("")), F.lit("9999")).cast("int") for k in range(19))]
+        year, month, day = number[1], F.coalesce(number[2], number[4]), F.coalesce(number[3], number[5])
+        week, week_day = F.coalesce(number[6], number[8]), F.coalesce(number[7], number[9], F.lit(1))
+        last_day = F.day(F.last_day(F.make_date(year, F.when(month.between(1, 12), month).otherwise(1), F.lit(1))))
+        last_week = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+        dated = F.when(week.isNotNull(), week.between(1, last_week) & week_day.between(1, 7)).otherwise(month.between(1, 12) & day.between(1, last_day))
+        hours = [F.coalesce(number[k], F.lit(0)) < 24 for k in (10, 15)]
+        rest = [F.coalesce(number[k], F.lit(0)) < 60 for k in (11, 12, 13, 14, 16, 17, 18, 19)]
+        good = (year > 0) & dated
+        for cond in (*hours, *rest):
+            good = good & cond
+        return good
+
+    bad = ~F.coalesce(F.get(F.transform(F.array(parts), right), F.lit(0)), F.lit(False))
     if nullable:
-        bad = bad & F.col(column).isNotNull()
+        bad = bad & text.isNotNull()
     return df.where(bad)
 
 

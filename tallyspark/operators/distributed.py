@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 # 4096 steps per unit of ln(1+|x|): values within 0.025 % share a bucket. A key whose
 # values span six orders of magnitude has at most 57,000 buckets to add up.
 _STEPS = 4096
@@ -95,15 +97,23 @@ HEAVY_KEYS = 1000
 def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
     """Give every row the columns of its group (one row per key; ``weight`` = rows of the key).
 
-    The heaviest groups are joined by broadcast, and that side has HEAVY_KEYS rows at
-    most, whatever the data. Among the others no key can hold more than a thousandth of
-    all rows, so their shuffle is balanced. ``how`` is inner or left.
+    The group frame is written once when called, and the rows are read once. The heaviest groups come by broadcast, HEAVY_KEYS rows
+    at most, whatever the data; among the others no key can hold more than a thousandth of all rows, so the shuffle of the
+    second join is balanced. Rows that need no second join (their group was heavy, or their key is null) are dealt over all of its
+    partitions by a salt, under which nothing is found. ``how`` is inner or left.
     """
     extra = [c for c in groups.columns if c != key]
-    heavy = groups.orderBy(F.desc(weight), F.col(key)).limit(HEAVY_KEYS)
-    hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups, key, how)
-    return hot.select(*rows.columns, *extra).unionByName(rest.select(*rows.columns, *extra))
+    groups = cut_lineage(groups.where(F.col(key).isNotNull()).select(F.col(key).alias("__g"), F.struct(*extra).alias("__x")))
+    heavy = groups.orderBy(F.desc(f"__x.{weight}"), F.col("__g")).limit(HEAVY_KEYS)
+    tagged = rows.join(F.broadcast(heavy.withColumnRenamed("__x", "__h")), rows[key] == F.col("__g"), "left").drop("__g")
+    settled = F.col("__h").isNotNull() | F.col(key).isNull()
+    salt = F.when(settled, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 16)) + 1).otherwise(0)
+    tagged = tagged.withColumn("__s", F.struct(F.when(~settled, F.col(key)).alias("k"), salt.cast("long").alias("s")))
+    rest = groups.select(F.struct(F.col("__g").alias("k"), F.lit(0).cast("long").alias("s")).alias("__s"), "__x")
+    found = tagged.join(rest, "__s", "left").withColumn("__x", F.coalesce("__h", "__x"))
+    if how == "inner":
+        found = found.where("__x is not null")
+    return found.select(*rows.columns, *[F.col(f"__x.{c}").alias(c) for c in extra])
 
 
 def bucket_offsets(sums: DataFrame, key: str, levels: Sequence[str]) -> DataFrame:

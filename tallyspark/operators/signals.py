@@ -102,7 +102,7 @@ def suspicious_reviews(reviews: DataFrame, policy: SuspicionPolicy = SuspicionPo
     # Texts are fingerprinted once; what is written and joined from here on is narrow.
     kept = [c for c in reviews.columns if c != "review_text"]
     marked = cut_lineage(reviews.withColumns({
-        "__words": F.when(F.length(normalize_text(F.col("review_text"))) > 0, word_fingerprint(F.col("review_text"))),
+        "__words": F.when(F.length(normalize_text(F.col("review_text"))) > 0, word_fingerprint(words(normalize_text(F.col("review_text"))))),
         "day": F.to_date("published_at"), "__place": F.concat_ws("\u0000", "brand_name", "branch_id")}).drop("review_text"))
     sizes = lambda key: marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(f"{key}_n"))
     repeated = sizes("__words").where("__words_n > 1")

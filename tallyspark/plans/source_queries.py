@@ -42,17 +42,20 @@ def jsonl_source(spark, folder):
 
 
 @query("bad_json_lines", """
-SELECT event_type, count(*) AS bad_lines FROM events WHERE event_id % 10 = 0 GROUP BY event_type""")
+WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line_number FROM events)
+SELECT event_type, count(*) AS bad_lines, sum(line_number)::BIGINT AS line_numbers FROM n WHERE event_id % 10 = 0 GROUP BY event_type""")
 def bad_json_lines(spark, folder):
-    """Every tenth line is cut off behind its type; each must be reported, none dropped silently."""
-    e = table(spark, folder, "events").select("event_id", "event_type", "value")
+    """Every tenth line is cut off behind its type; each must be reported with its number in its file, none dropped silently."""
+    e = table(spark, folder, "events").select("event_id", "event_type", "value", F.floor(F.col("event_id") / 5000).alias("part"))
     whole = F.to_json(F.struct("event_type", "event_id", "value"))
     cut = F.concat(F.lit('{"event_type":"'), "event_type", F.lit('","event_id":'))
     path = scratch_path(spark, "badlines")
-    e.select(F.when(F.col("event_id") % 10 == 0, cut).otherwise(whole).alias("value")).write.text(path)
+    lines = e.repartition("part").sortWithinPartitions("part", "event_id").select(
+        "part", F.when(F.col("event_id") % 10 == 0, cut).otherwise(whole).alias("value"))
+    lines.write.partitionBy("part").text(path)
     bad = readers.bad_json_lines(spark, path, "event_type string, event_id long, value double")
     return bad.groupBy(F.regexp_extract("line", '"event_type":"([a-z]+)"', 1).alias("event_type")).agg(
-        F.count(F.lit(1)).alias("bad_lines"))
+        F.count(F.lit(1)).alias("bad_lines"), F.sum("line_number").alias("line_numbers"))
 
 
 @query("csv_source", EVENT_TOTALS)

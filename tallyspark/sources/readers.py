@@ -72,11 +72,26 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line_number, line, partition columns) of text files, numbered from 1, blank lines included.
+
+    A file is read in as many splits as Spark makes; a line's number is its place in the split plus the lines of the file's
+    earlier splits, so only counts for each split meet.
+    """
+    text = spark.read.text(path)
+    rows = text.select(
+        F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"), *[c for c in text.columns if c != "value"])
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__w"))
+    offsets = bucket_offsets(blocks.drop("__first"), "__file", ["__block"])
+    starts = blocks.join(offsets, ["__file", "__block"]).select("__file", "__block", (F.col("__off") - F.col("__first") + 1).alias("__add"))
+    return rows.join(starts, ["__file", "__block"]).withColumn("line_number", F.col("__id") + F.col("__add")).drop("__file", "__block", "__id", "__add")
+
+
 def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(source_file, line) of the lines that are not valid records."""
-    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(
-        F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("line"))
+    """(source_file, line_number, line, partition columns) of the lines that are neither blank nor valid records."""
     parsed = F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0)
     return rows.withColumn("__p", parsed).where(F.col("__p._bad").isNotNull()).drop("__p")
 
 

@@ -68,3 +68,24 @@ def test_lookup_covers_heavy_light_and_missing_keys(spark, monkeypatch):
     assert {r.name: r["count"] for r in inner.groupBy("name").count().collect()} == {"H": 50, "L": 1}
     left = lookup(rows, groups, "k", "n", "left")
     assert left.count() == 53 and left.where("name is null").count() == 2
+
+
+@pytest.mark.parametrize("heavy", [1000, 0, 1])
+def test_lookup_of_hot_and_null_keys_reads_rows_once(spark, monkeypatch, tmp_path, heavy):
+    """A third of the rows on one key, a third without a key."""
+    from tallyspark.operators import distributed
+
+    monkeypatch.setattr(distributed, "HEAVY_KEYS", heavy)
+    data = [("hot" if k % 3 == 0 else None if k % 3 == 1 else f"k{k % 50}", k) for k in range(900)]
+    spark.createDataFrame(data, "k string, x long").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    groups = rows.where("k is not null and k <> 'k5'").groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("high"))
+    left = lookup(rows, groups, "k", "n", "left")
+    sizes, high = {}, {}
+    for k, x in data:
+        sizes[k], high[k] = sizes.get(k, 0) + 1, x
+    want = {(k, x, *((None, None) if k in (None, "k5") else (sizes[k], high[k]))) for k, x in data}
+    assert set(map(tuple, left.collect())) == want and left.count() == len(data)
+    assert set(map(tuple, lookup(rows, groups, "k", "n").collect())) == {r for r in want if r[2] is not None}
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [k#") == 1

@@ -172,3 +172,45 @@ def test_iso_forms(spark):
     bad = ["2026", "2026-07", "2026-7-1", "T10:00", "2026-13-01", "no", ""]
     df = spark.createDataFrame([(x,) for x in good + bad], "at string")
     assert {r.at for r in checks.invalid_iso8601(df, "at").collect()} == set(bad)
+
+
+def test_iso_forms_are_those_of_the_standard_library(spark):
+    from datetime import datetime
+
+    forms = ["2026-07-20", "20260720", "20260701T101112", "2026-W29-1", "2026W291", "2026-W29", "2026W29", "2026-07-20T1000", "2026-07-20x10:00",
+             "2026-07-20T10:00:00+05:30:15", "2026-07-20T10:00:00.1234567890", "2026-07-20T10:00:00,5Z", "2026-07-20 10", "2026-07-20T10:00Z",
+             "2026-07-20T10:00:00-0330", "2020-W53-7", "2021-W53", "2026-W00", "2026-W29-8", "2026-W29-0", "2026-02-29", "2024-02-29", "2026-13-01",
+             "2026-00-10", "2026-04-31", "2026-07-20T24:00", "2026-07-20T10:60", "2026-07-20T10:00:60", "2026-07-20T10:00+24:00", "0000-01-01", "2026-07",
+             "2026", "10:00", "2026-7-20", "2026-07-20T", "2026-07-20T1", "2026-07-20T10:0", "2026-07-20T10:00:00.", "", "yesterday", "2026-07-2010:00",
+             "2026-0720", "2026-07-20T10:00:00+5", "2026-07-20\u00e910:00", "2026-07-20T100000.5+0100"]
+
+    def good(value):
+        try:
+            datetime.fromisoformat(value.replace("Z", "+00:00"))
+            return True
+        except ValueError:
+            return False
+
+    from tallyspark.operators import checks
+
+    df = spark.createDataFrame([(f,) for f in forms] + [(None,)], "at string")
+    assert {r["at"] for r in checks.invalid_iso8601(df, "at").collect()} == {f for f in forms if not good(f)} | {None}
+    assert None not in {r["at"] for r in checks.invalid_iso8601(df, "at", nullable=True).collect()}
+
+
+def test_line_numbers_hold_over_splits_and_blank_lines(spark, tmp_path):
+    from tallyspark.sources import readers
+
+    lines = ["" if k % 17 == 3 else '{"a": ' if k % 13 == 0 else f'{{"a": {k}}}' for k in range(4000)]
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "two.jsonl").write_text('{"a": 1}\n\nbad')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        got = readers.bad_json_lines(spark, str(tmp_path), "a long")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        found = sorted((r.source_file.rsplit("/", 1)[-1], r.line_number, r.line) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [("one.jsonl", k + 1, x) for k, x in enumerate(lines) if x == '{"a": '] + [("two.jsonl", 3, "bad")]
+    assert found == want
