@@ -12,8 +12,11 @@ else has can have no partner and leaves. What is left joins in two steps:
    brought together in blocks of bounded text. In a block the whole sets are stored in a trie and each path is followed once
    with a vector of partial overlaps with all other sets; sets with a common start share that part of the walk, and a
    subtree is left when no set can reach its needed overlap in the length that remains.
-2. Pairs of different components and blocks that still share postings are counted (pairs inside the largest block of a
-   posting are never formed), those whose count reaches the overlap that a link forces on the heads are compared exactly.
+2. Pairs of different components and blocks meet by prefixes: a class puts its open postings in one global order, rarest
+   first, and posts only so many that a linked partner cannot lack them all, counting as passed those that nobody outside
+   shares. A meeting counts if enough postings are left behind it on both sides, since the first meeting of a linked pair
+   has them (pairs inside the largest block of a posting are never formed). Pairs whose heads then have the overlap that a
+   link forces on them are compared exactly.
 
 Every link between different texts lies inside a component or is found in step 2, so components are exact.
 
@@ -30,7 +33,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import map_texts, text_slices, written
 from .components import connected_components
@@ -149,16 +152,17 @@ def text_name(text: str) -> Column:
 
 
 def document_sets(docs: DataFrame, heavy: np.ndarray, key: str, text: str, policy: JoinPolicy) -> DataFrame:
-    """(key, tid, digest, cid, n, p, whole, head): the class of each document and what it posts.
+    """(key, tid, digest, cid, n, p, whole, core, head): the class of each document and what it posts.
 
-    ``p`` is how many n-grams a partner may lack, ``whole`` tells that the head is the whole set.
+    ``p`` is how many n-grams a partner may lack, ``whole`` tells that the head is the whole set. The first ``core`` n-grams are
+    those of the head proper, which is all that a partner whose head is not whole can share.
     """
     limit = np.uint64(int(policy.head_share * 2**64))
     named = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text), text_name(text).alias("tid"))
 
     def make():
         def work(texts):
-            out = {k: [] for k in ("digest", "cid", "n", "p", "whole", "head")}
+            out = {k: [] for k in ("digest", "cid", "n", "p", "whole", "core", "head")}
             for s in shingle_sets(texts, policy.width):
                 n = len(s)
                 digest = blake2b(s.tobytes(), digest_size=16).digest() if n else None
@@ -166,15 +170,17 @@ def document_sets(docs: DataFrame, heavy: np.ndarray, key: str, text: str, polic
                 head = s[:np.searchsorted(s, limit)]
                 if len(heavy):
                     head = head[heavy[np.minimum(np.searchsorted(heavy, head), len(heavy) - 1)] != head]
-                whole = len(head) <= missing
-                for k, v in zip(out, (digest, int.from_bytes(digest[:8], "big", signed=True) if n else None, n, missing, whole,
-                                      _signed(s if whole else head))):
+                whole, core = len(head) <= missing, len(head)
+                if whole:
+                    head = np.concatenate([head, np.setdiff1d(s, head, assume_unique=True)])
+                for k, v in zip(out, (digest, int.from_bytes(digest[:8], "big", signed=True) if n else None, n, missing, whole, core,
+                                      _signed(head))):
                     out[k].append(v)
             return out
 
         return work
 
-    return map_texts(named, [text], "digest binary, cid long, n long, p long, whole boolean, head array<long>", make, (key, "tid"))
+    return map_texts(named, [text], "digest binary, cid long, n long, p long, whole boolean, core int, head array<long>", make, (key, "tid"))
 
 
 def overlap_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -246,7 +252,7 @@ def _groups(docs: DataFrame, key: str, text: str, policy: JoinPolicy) -> DataFra
     rows = written(document_sets(docs, heavy_grams(docs, text, policy), key, text, policy), "ngram-sets")
     # A class is read again by one of its rows, named by id and text.
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.min(F.struct(F.col(key).alias("id"), "tid")).alias("first"), *[F.first(c).alias(c) for c in ("cid", "n", "p", "whole", "head")])
+        F.min(F.struct(F.col(key).alias("id"), "tid")).alias("first"), *[F.first(c).alias(c) for c in ("cid", "n", "p", "whole", "core", "head")])
     classes = written(classes, "ngram-classes")
     links = _links(docs, classes, key, text, policy)
     label = connected_components(links)
@@ -266,7 +272,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: JoinPolicy) -> DataFrame:
     """(a, b): digests of linked classes, at least enough of them to give the right components."""
-    posts = classes.select("cid", F.explode("head").alias("gram"))
+    posts = classes.select("cid", "core", F.posexplode("head").alias("at", "gram")).select("cid", "gram", (F.col("at") < F.col("core")).alias("core"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     met = posts.join(shared, "gram")
     # N-grams of the head proper are seen in every partner's postings, so the rule may count those that nobody shares.
@@ -316,35 +322,48 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
         .applyInPandas(block_links, "a binary, b binary"), "ngram-links")
 
     # Step 2: what still shares postings across components. ``r`` is what a link forces a class to share with its partner:
-    # all but p of its head; of a whole set (negative) that holds only if the partner posts its whole set too.
+    # all but p of its head; of a whole set that holds only if the partner posts its whole set too.
     label = connected_components(near)
     part = F.conv(F.substring(F.hex(F.coalesce("component", "digest")), 1, 16), 16, -10).cast("long")
-    force = (F.col("h") - F.col("p")) * F.when(F.col("whole"), -1).otherwise(1)
     facts = alive.join(label.withColumnRenamed("node", "digest"), "digest", "left").select(
-        "cid", part.alias("comp"), "n", force.alias("r"))
+        "cid", part.alias("comp"), "n", "whole", (F.col("h") - F.col("p")).alias("r"))
     # A block has compared all its pairs, so only pairs of different blocks and different components are left.
     block = placed.select("cid", F.xxhash64("component", F.get(every, F.lit(0))).alias("block"))
-    facts = facts.join(block, "cid", "left").select("cid", "comp", "n", "r", F.coalesce("block", "cid").alias("part"))
+    facts = facts.join(block, "cid", "left").select("cid", "comp", "n", "whole", "r", F.coalesce("block", "cid").alias("part"))
     tagged = met.join(facts, "cid")
     for _ in range(2):
         # A class goes if fewer of its postings than a link forces are shared outside its component. Twice, since those
         # that went leave others alone.
         mixed = tagged.groupBy("gram").agg(
+            F.count("*").alias("m"),
             *[f(c).alias(f"{c}_{n}") for c in ("part", "comp") for n, f in (("lo", F.min), ("hi", F.max))]).where(
-            "part_lo < part_hi and comp_lo < comp_hi").select("gram")
-        tagged = written(tagged.join(mixed, "gram", "left_semi"), "ngram-mixed")
-        enough = tagged.groupBy("cid").agg(F.count("*").alias("k"), F.first("r").alias("r")).where("r < 0 or k >= r").select("cid")
+            "part_lo < part_hi and comp_lo < comp_hi").select("gram", "m")
+        tagged = written(tagged.drop("m").join(mixed, "gram"), "ngram-mixed")
+        enough = tagged.groupBy("cid").agg(
+            F.count("*").alias("k"), F.first("r").alias("r"), F.first("whole").alias("whole"), F.max("core").alias("core")).where(
+            "k >= r or (whole and core)").select("cid")
         tagged = written(tagged.join(enough, "cid", "left_semi"), "ngram-tagged")
-    sizes = tagged.groupBy("gram", "part").agg(F.count("*").alias("k"))
+    # Rarest first; ``own`` counts the postings from this one on, ``other`` those of the head proper, which is what a partner of
+    # the other kind can meet. The order is that of the last count, the same for all, so the prefix rule holds.
+    down = Window.partitionBy("cid").orderBy(F.desc("m"), F.desc("gram"))
+    so_far = F.sum(F.col("core").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = tagged.select("*", F.row_number().over(down).alias("own"), F.when(F.col("core"), so_far).otherwise(0).alias("other"))
+    prefix = written(ranked.where("own >= r or (whole and core)").drop("core", "m"), "ngram-prefix")
+    sizes = prefix.groupBy("gram", "part").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("largest")).where("parts > 1")
-    mixed = tagged.join(largest.select("gram", "largest"), "gram")
-    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "r", "part", "comp")], (F.col("part") == F.col("largest")).alias("big"))
-    left = mixed.where("part <> largest").select("gram", "cid", "n", "r", "part", "comp")
+    mixed = prefix.join(largest.select("gram", "largest"), "gram")
+    facts = ("cid", "n", "whole", "r", "own", "other", "part", "comp")
+    right = mixed.select("gram", *[F.col(c).alias(f"{c}2") for c in facts], (F.col("part") == F.col("largest")).alias("big"))
+    left = mixed.where("part <> largest").select("gram", *facts)
     pairs = left.join(right, "gram").where(
-        f"part <> part2 and comp <> comp2 and (big or cid < cid2) and 100 * least(n, n2) >= {policy.percent} * greatest(n, n2)")
-    forced = F.when((F.col("r") < 0) == (F.col("r2") < 0), F.greatest(F.abs("r"), F.abs("r2"))).otherwise(F.greatest("r", "r2"))
-    pairs = pairs.groupBy(F.least("cid", "cid2").alias("c1"), F.greatest("cid", "cid2").alias("c2")).agg(
-        F.count("*").alias("common"), F.first(forced).alias("forced")).where("common >= forced")
+        f"part <> part2 and comp <> comp2 and (big or cid < cid2) and 100 * least(n, n2) >= {policy.percent} * greatest(n, n2)"
+        " and case when whole = whole2 then least(own, own2) >= greatest(r, r2) else least(other, other2) >= if(whole, r2, r) end")
+    pairs = pairs.select(F.least("cid", "cid2").alias("c1"), F.greatest("cid", "cid2").alias("c2")).distinct()
+    heads = classes.select("cid", "whole", (F.size("head") - F.col("p")).alias("r"), "head")
+    for side in "12":
+        pairs = pairs.join(heads.select(*[F.col(c).alias(f"{c[0]}{side}") for c in heads.columns]), f"c{side}")
+    forced = F.when(F.col("w1") == F.col("w2"), F.greatest("r1", "r2")).otherwise(F.when(F.col("w1"), F.col("r2")).otherwise(F.col("r1")))
+    pairs = pairs.where(F.size(F.array_intersect("h1", "h2")) >= forced).select("c1", "c2")
     name = alive.select("cid", "digest")
     pairs = pairs.join(name.select(F.col("cid").alias("c1"), F.col("digest").alias("a")), "c1").join(
         name.select(F.col("cid").alias("c2"), F.col("digest").alias("b")), "c2").select("a", "b")
