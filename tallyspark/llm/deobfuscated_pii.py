@@ -2,8 +2,8 @@
 
 Plain matches (``base``) come first and always stay. A chain of small transducers then rewrites the text while carrying,
 for every character, the span of source characters it stands for: homoglyphs and full-width forms become ASCII and
-invisible characters vanish; bracketed or spelled ``at`` and ``dot`` become ``@`` and ``.``; spelled digits become digits and
-join up. The same detectors run on the result, and what they find is mapped back. Only finds that touch a rewritten
+ignorable characters vanish; coded, bracketed or spelled ``at`` and ``dot`` become ``@`` and ``.``; spelled digits become digits
+and join up. A bare ``at`` before an ordinary host is left alone unless its host or local part is disguised too. The same detectors run on the result, and what they find is mapped back. Only finds that touch a rewritten
 character, and that do not lie inside a plain match of the same kind, are added.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive. Each repeated row gets its own result.
@@ -36,8 +36,13 @@ LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "С", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ",
     "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
 }
-# Invisible characters.
-INVISIBLE = "­​‌‍⁠﻿"
+# Ranges of characters that are ignored when shown (soft hyphen, joiners, bidi marks, variation selectors, tags).
+IGNORABLE = (
+    (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
+    (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8),
+    (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+INVISIBLE = frozenset(chr(c) for first, last in IGNORABLE for c in range(first, last + 1))
 # Spelled digits by language, zero first.
 SPELLED = (
     "zero one two three four five six seven eight nine".split(),
@@ -70,6 +75,7 @@ FOLDS = {other: ascii_ for ascii_, others in LOOKALIKES.items() for other in oth
 FOLDS |= {ch: to for ch in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(ch) < 0xE000
           and ch not in FOLDS and (to := _folded(ch)) is not None}
 FOLDS |= {ch: to for ch in map(chr, range(0x1D400, 0x1D800)) if (to := _folded(ch)) is not None}
+FOLDS |= dict.fromkeys(INVISIBLE, "")
 # A class of thousands of characters is slow to test, so candidates are found by this one and looked up.
 NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
@@ -88,6 +94,15 @@ _SEP = r"[\s_-]{1,2}"
 TOP_LEVEL = "com|org|net|edu|gov|int|mil|info|biz|io|co|me|eu|de|fr|es|it|uk|us|ch|at|be|nl|pt|pl|se|no|dk|fi|ie|ca|au|in|jp|cn|br|mx|ar|ru|test|example"
 _LABELS = rf"(?:[A-Za-z0-9-]+(?:{_SEP}(?:{DOT_WORDS}){_SEP}|\.))+(?:{TOP_LEVEL})(?![\w])"
 WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_SEP}(?:{AT_WORDS}){_SEP})(?={_LABELS})", re.I)
+# A bare "at" before an ordinary host is prose ("we look at example.com") unless something else is disguised as well.
+DOT_WORD = re.compile(rf"{_SEP}(?:{DOT_WORDS}){_SEP}", re.I)
+HOST_AHEAD = re.compile(_LABELS, re.I)
+LOCAL_DOT = re.compile(rf"[A-Za-z0-9]{_SEP}dot{_SEP}[A-Za-z0-9]+\Z", re.I)
+# Capitals after a small letter or digit are a disguise by themselves, whatever the ending.
+CAPITAL_AT = re.compile(rf"(?<=[a-z0-9]){_SEP}AT{_SEP}(?=(?:[a-z0-9-]+(?:{_SEP}DOT{_SEP}|\.))+[a-z]{{2,}}(?!\w))")
+# The two signs as character references and in percent form.
+CODED = re.compile(r"\s?(?:&#0*64;|&#x0*40;|&commat;)\s?|%40(?=[A-Za-z0-9])", re.I)
+CODED_DOT = re.compile(r"&#0*46;|&#x0*2e;|&period;|(?<=[A-Za-z0-9])%2e(?=[A-Za-z0-9])", re.I)
 WORD_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_SEP}(?:{DOT_WORDS}){_SEP})(?=[A-Za-z0-9])", re.I)
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,2}@\s{0,2}|@\s{1,2})(?=[A-Za-z0-9-]+\s?\.\s?[A-Za-z0-9-]+)")
 SPACED_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s\.\s?[A-Za-z0-9-]+)+")
@@ -187,6 +202,19 @@ def _digits_meet(text: str, low: str, words: set[str]) -> bool:
     return False
 
 
+def _word_ats(m: Mapped) -> list[tuple[int, int, str]]:
+    """Words for the at-sign whose host or local part is disguised too, or that are joined by underscores."""
+    out = []
+    for x in WORD_AT.finditer(m.text):
+        host, local = HOST_AHEAD.match(m.text, x.end()).end(), x.start()
+        while local and m.text[local - 1] in LOCAL_CHARS:
+            local -= 1
+        if ((x[0][0] == x[0][-1] == "_") or DOT_WORD.search(m.text, x.end(), host) or any(m.changed[local:host])
+                or LOCAL_DOT.search(m.text[max(0, x.start() - 80):x.start()])):
+            out.append((x.start(), x.end(), "@"))
+    return out
+
+
 def _digit_pieces(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits, and the separators on either side of one, inside runs of at least three digits."""
     out = []
@@ -222,13 +250,17 @@ def normalised(text: str) -> Mapped:
     m = Mapped(text)
     if not text.isascii() and not FOLDS.keys().isdisjoint(text):
         m.rewrite([(x.start(), x.end(), FOLDS[x[0]]) for x in NOT_ASCII.finditer(m.text) if x[0] in FOLDS])
+    if "&" in m.text or "%" in m.text:
+        m.rewrite([(x.start(), x.end(), "@") for x in CODED.finditer(m.text)])
+        m.rewrite([(x.start(), x.end(), ".") for x in CODED_DOT.finditer(m.text)])
     if BRACKET.search(m.text):
         m.rewrite([(x.start(), x.end(), "@") for x in BRACKET_AT.finditer(m.text)])
         m.rewrite([(x.start(), x.end(), ".") for x in BRACKET_DOT.finditer(m.text)])
     # The rewrites below never join or make words, so these stay a superset.
     words = set(ALNUM.findall(_lower(m.text)))
     if not words.isdisjoint(_AT_SET):
-        m.rewrite([(x.start(), x.end(), "@") for x in WORD_AT.finditer(m.text)])
+        m.rewrite([(x.start(), x.end(), "@") for x in CAPITAL_AT.finditer(m.text)])
+        m.rewrite(_word_ats(m))
     if not words.isdisjoint(_DOT_SET):
         m.rewrite([(x.start(), x.end(), ".") for x in WORD_DOT.finditer(m.text)])
     if "@" in m.text:

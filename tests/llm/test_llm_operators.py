@@ -252,12 +252,55 @@ def test_each_disguise_is_found_alone(text, kind):
     assert deobfuscated_pii.redacted(text, more) == f"<{kind}>"
 
 
+@pytest.mark.parametrize("text,kind", [
+    ("jo\u200e@example.com", "email"), ("jo@exam\u2066ple.com", "email"), ("jo@example\ufe0f.com", "email"), ("jo &#64; example.com", "email"),
+    ("jo%40example.com", "email"), ("jo@example&#46;com", "email"), ("jo AT example DOT nz", "email"), ("jo AT example.nz", "email"),
+    ("jo at example[.]com", "email"), ("jo dot doe at example.com", "email"), ("jo_at_example.com", "email"), ("j\u043e at example.com", "email"),
+])
+def test_further_disguises(text, kind):
+    plain, more = deobfuscated_pii.find_all(text)
+    assert not [s for s in plain if s[1] == 0] and deobfuscated_pii.redacted(text, more) == f"<{kind}>"
+
+
+@pytest.mark.parametrize("text", [
+    "we look at example.com for it", "Write to us at mail.example.org today", "more at www.example.co.uk, or here", "AT A GLANCE AT EXAMPLE.COM",
+    "100% sure & at home \u2764\ufe0f", "one point at which we meet", "a look-at-example.com host",
+])
+def test_prose_has_no_added_spans(text):
+    assert deobfuscated_pii.find_all(text) == ([], [])
+
+
+def test_base_columns_by_a_plain_twin(spark):
+    """Counts, hash and spans of the query's columns against the four patterns applied one by one."""
+    rng = random.Random(21)
+    pieces = [*"0123456789", "4111 1111 1111 1111", "10.0.0.1", "256.1.1.1", "+1 (068) 555-1234", "+12", "jo@a.example", "@", ".", "x.y@b-c.d.e", "word", "\n", "é"]
+    texts = [None, ""] + ["".join(rng.choice(pieces) + rng.choice(["", " ", "-", ". "]) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    want = []
+    for i, t in enumerate(texts):
+        found = []
+        for k, (kind, rule) in enumerate({
+                "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}.items()):
+            for m in re.finditer(rule, t or ""):
+                d = [int(c) for c in m[0] if c in "0123456789"]
+                doubled = [x if j % 2 == 0 else sum(divmod(2 * x, 10)) for j, x in enumerate(reversed(d))]
+                if (kind == "email" or kind == "ip" and max(map(int, m[0].split("."))) <= 255 or kind == "phone" and 10 <= len(d) <= 15
+                        or kind == "card" and 14 <= len(d) <= 19 and sum(doubled) % 10 == 0):
+                    found.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+        spans = [x[2] for x in sorted(found)]
+        want.append((i, *(sum(x[1] == k for x in found) for k in range(4)), hashlib.sha256(",".join(spans).encode()).hexdigest(), set(spans)))
+    got = deobfuscated_pii.span_digest(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [w[:6] for w in want]
+    assert all(w[6] <= set(r.spans.split(",")) for r, w in zip(got, want))
+
+
 def ungated(text):
     """Every transducer on the whole text, none left out."""
     d, m = deobfuscated_pii, deobfuscated_pii.Mapped(text)
     m.rewrite([(x.start(), x.end(), d.FOLDS[x[0]]) for x in re.finditer(r"(?s).", m.text) if x[0] in d.FOLDS])
-    for pattern_, new in ((d.BRACKET_AT, "@"), (d.BRACKET_DOT, "."), (d.WORD_AT, "@"), (d.WORD_DOT, "."), (d.SPACED_AT, "@")):
-        m.rewrite([(x.start(), x.end(), new) for x in pattern_.finditer(m.text)])
+    for pattern_, new in ((d.CODED, "@"), (d.CODED_DOT, "."), (d.BRACKET_AT, "@"), (d.BRACKET_DOT, "."), (d.CAPITAL_AT, "@"), (None, ""),
+                          (d.WORD_DOT, "."), (d.SPACED_AT, "@")):
+        m.rewrite([(x.start(), x.end(), new) for x in pattern_.finditer(m.text)] if pattern_ else d._word_ats(m))
     m.rewrite([(b.start(), b.end(), ".") for x in d.SPACED_HOST.finditer(m.text) for b in d.BLANK_DOT.finditer(m.text, x.start(), x.end())])
     m.rewrite([(x.start(), x.end(), "+") for x in d.PLUS.finditer(m.text)])
     m.rewrite(d._digit_pieces(m.text))
@@ -268,7 +311,7 @@ def ungated(text):
 
 def test_no_transducer_is_left_out_wrongly():
     rng = random.Random(10)
-    pieces = [*"0123456789", "068", "555", "4111", *deobfuscated_pii.DIGIT_OF, "Seven", "\u017fix", "F\u0130VE", "plus", "Plu\u017f", "+", "at", "AT", "dot",
+    pieces = [*"0123456789", "068", "555", "4111", *deobfuscated_pii.DIGIT_OF, "Seven", "\u017fix", "F\u0130VE", "plus", "Plu\u017f", "+", "&#64;", "%40", "&#x2E;", "\ufe0f", "at", "AT", "dot",
               "pun\u212at", "jo", "example", "com", "[at]", "( . )", "{@}", "<dot>", "@", ".", "\u2013", "\xa0", "\u200b", "x", "\u0662", "(", "]"]
     changed = 0
     for _ in range(30_000):
