@@ -120,7 +120,8 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang", pol
     # The hashes are ranked without the texts; a window with a limit keeps that many rows of a language before the shuffle.
     rank = Window.partitionBy("lang").orderBy("h")
     picked = usable.select("lang", "h").distinct().withColumn("r", F.row_number().over(rank)).where(F.col("r") <= policy.max_documents).drop("r")
-    sample = usable.join(F.broadcast(picked), ["lang", "h"])
+    # One text of a hash: a text that fills a third of the table counts once. Copies are combined before they are shuffled.
+    sample = usable.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("entry")).where("entry <> ''").groupBy("lang", "entry").count()
     words = written(words, "language-words")
     padded = F.concat(F.lit("^"), "entry", F.lit("$"))
