@@ -21,6 +21,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job of several rounds writes for itself and drops once the last round that reads them is written.
+
+    Only paths that it has written itself are ever dropped. What follows must read tables written later: a plan that still refers
+    to a dropped one cannot be run again.
+    """
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Drop these tables, or all that are left."""
+        gone = [(t, p) for t, p in self._paths if not tables or any(t is x for x in tables)]
+        self._paths = [(t, p) for t, p in self._paths if all(p != q for _, q in gone)]
+        for table, path in gone:
+            context = table.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def crc_fold(column: str | Column, folds: int) -> Column:
     """crc32 of the value's text modulo ``folds``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column, F.lit(""))) % folds

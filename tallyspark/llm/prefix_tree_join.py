@@ -35,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import map_texts, text_slices, written
+from .common import Scratch, map_texts, text_slices, written
 from .components import connected_components
 
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -249,14 +249,19 @@ def _pair_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _groups(docs: DataFrame, key: str, text: str, policy: JoinPolicy) -> DataFrame:
     """(key, tid, n_shingles, g): every row with its group, null where the set is empty."""
-    rows = written(document_sets(docs, heavy_grams(docs, text, policy), key, text, policy), "ngram-sets")
+    scratch = Scratch()
+    rows = scratch.write(document_sets(docs, heavy_grams(docs, text, policy), key, text, policy), "ngram-sets")
     # A class is read again by one of its rows, named by id and text.
     classes = rows.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct(F.col(key).alias("id"), "tid")).alias("first"), *[F.first(c).alias(c) for c in ("cid", "n", "p", "whole", "core", "head")])
-    classes = written(classes, "ngram-classes")
+    classes = scratch.write(classes, "ngram-classes")
+    # Heads are read from the classes from here on; of the rows only their names stay.
+    named = scratch.write(rows.select(key, "tid", "digest", F.col("n").alias("n_shingles")), "ngram-rows")
+    scratch.drop(rows)
     links = _links(docs, classes, key, text, policy)
     label = connected_components(links)
-    members = rows.select(key, "tid", "digest", F.col("n").alias("n_shingles")).join(
+    scratch.drop(classes)
+    members = named.join(
         label.select(F.col("node").alias("digest"), "component"), "digest", "left")
     return members.select(key, "tid", "n_shingles", F.coalesce("component", "digest").alias("g"))
 
@@ -272,6 +277,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", p
 
 def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: JoinPolicy) -> DataFrame:
     """(a, b): digests of linked classes, at least enough of them to give the right components."""
+    scratch = Scratch()
     posts = classes.select("cid", "core", F.posexplode("head").alias("at", "gram")).select("cid", "gram", (F.col("at") < F.col("core")).alias("core"))
     shared = posts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
     met = posts.join(shared, "gram")
@@ -279,8 +285,8 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     seen = met.groupBy("cid").agg(F.count("*").alias("n_met"))
     alive = classes.join(seen, "cid").where(
         F.col("whole") | (F.size("head") - F.col("n_met") <= F.col("p")))
-    alive = written(alive.select("cid", "digest", "first", "n", "p", "whole", F.size("head").alias("h")), "ngram-alive")
-    met = written(met.join(alive.select("cid"), "cid", "left_semi"), "ngram-met")
+    alive = scratch.write(alive.select("cid", "digest", "first", "n", "p", "whole", F.size("head").alias("h")), "ngram-alive")
+    met = scratch.write(met.join(alive.select("cid"), "cid", "left_semi"), "ngram-met")
 
     # Step 1: the forest of best sharers.
     least = met.groupBy("gram").agg(F.min("cid").alias("hub"))
@@ -289,7 +295,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     forest = connected_components(best.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
     source = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{key}`").alias("id"), text_name(text).alias("tid"), F.col(f"`{text}`").alias("text"), F.length(f"`{text}`").alias("chars"))
-    bodies = _bodies(source, alive, policy)
+    bodies = scratch.write(_bodies(source, alive), "ngram-bodies")
     grouped = bodies.join(forest.withColumnRenamed("node", "cid"), "cid")
     blocks = grouped.groupBy("component").agg(F.ceil(F.sum("chars") / policy.block_chars).cast("int").alias("blocks"))
     placed = grouped.join(blocks, "component")
@@ -317,7 +323,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
         star = [(names[i], names[find(i)]) for i in range(len(names)) if find(i) != i]
         return pd.DataFrame(star, columns=["a", "b"])
 
-    near = written(
+    near = scratch.write(
         placed.select("component", F.explode(every).alias("block"), "digest", "text").groupBy("component", "block")
         .applyInPandas(block_links, "a binary, b binary"), "ngram-links")
 
@@ -330,7 +336,7 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
     # A block has compared all its pairs, so only pairs of different blocks and different components are left.
     block = placed.select("cid", F.xxhash64("component", F.get(every, F.lit(0))).alias("block"))
     facts = facts.join(block, "cid", "left").select("cid", "comp", "n", "whole", "r", F.coalesce("block", "cid").alias("part"))
-    tagged = met.join(facts, "cid")
+    tagged, read = met.join(facts, "cid"), met
     for _ in range(2):
         # A class goes if fewer of its postings than a link forces are shared outside its component. Twice, since those
         # that went leave others alone.
@@ -338,17 +344,21 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
             F.count("*").alias("m"),
             *[f(c).alias(f"{c}_{n}") for c in ("part", "comp") for n, f in (("lo", F.min), ("hi", F.max))]).where(
             "part_lo < part_hi and comp_lo < comp_hi").select("gram", "m")
-        tagged = written(tagged.drop("m").join(mixed, "gram"), "ngram-mixed")
+        tagged = scratch.write(tagged.drop("m").join(mixed, "gram"), "ngram-mixed")
+        scratch.drop(read)
         enough = tagged.groupBy("cid").agg(
             F.count("*").alias("k"), F.first("r").alias("r"), F.first("whole").alias("whole"), F.max("core").alias("core")).where(
             "k >= r or (whole and core)").select("cid")
-        tagged = written(tagged.join(enough, "cid", "left_semi"), "ngram-tagged")
+        read, tagged = tagged, scratch.write(tagged.join(enough, "cid", "left_semi"), "ngram-tagged")
+        scratch.drop(read)
+        read = tagged
     # Rarest first; ``own`` counts the postings from this one on, ``other`` those of the head proper, which is what a partner of
     # the other kind can meet. The order is that of the last count, the same for all, so the prefix rule holds.
     down = Window.partitionBy("cid").orderBy(F.desc("m"), F.desc("gram"))
     so_far = F.sum(F.col("core").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = tagged.select("*", F.row_number().over(down).alias("own"), F.when(F.col("core"), so_far).otherwise(0).alias("other"))
-    prefix = written(ranked.where("own >= r or (whole and core)").drop("core", "m"), "ngram-prefix")
+    prefix = scratch.write(ranked.where("own >= r or (whole and core)").drop("core", "m"), "ngram-prefix")
+    scratch.drop(tagged)
     sizes = prefix.groupBy("gram", "part").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("largest")).where("parts > 1")
     mixed = prefix.join(largest.select("gram", "largest"), "gram")
@@ -375,14 +385,17 @@ def _links(docs: DataFrame, classes: DataFrame, key: str, text: str, policy: Joi
         return lambda one, two: {"linked": [_pair_links(x, y, percent) for x, y in zip(shingle_sets(one, width), shingle_sets(two, width))]}
 
     exact = map_texts(both, ["t1", "t2"], "linked boolean", make, ("a", "b")).where("linked").select("a", "b")
-    return written(near.unionByName(exact), "ngram-all-links")
+    # Read by the caller, so written beside what is dropped here.
+    links = written(near.unionByName(exact), "ngram-all-links")
+    scratch.drop()
+    return links
 
 
-def _bodies(source: DataFrame, alive: DataFrame, policy: JoinPolicy) -> DataFrame:
+def _bodies(source: DataFrame, alive: DataFrame) -> DataFrame:
     """(cid, digest, text, chars): one text of every class that is left, met by the id and text of the row that stands for it."""
     wanted = alive.select(F.col("first.id").alias("want"), F.col("first.tid").alias("tid"), "cid", "digest")
     met = source.join(wanted, (source["tid"] == wanted["tid"]) & source["id"].eqNullSafe(wanted["want"]))
-    return written(met.select("cid", "digest", "text", "chars").dropDuplicates(["digest"]), "ngram-bodies")
+    return met.select("cid", "digest", "text", "chars").dropDuplicates(["digest"])
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", policy: JoinPolicy = JoinPolicy()) -> DataFrame:

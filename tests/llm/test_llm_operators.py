@@ -7,6 +7,7 @@ import random
 import re
 import tempfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ from tallyspark.llm import (backoff_langid, boosted_quality, byte_bpe, column_bw
 from tallyspark.llm.common import crc_fold, read_table
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.queries import QUERIES, pattern, tokenizer_file
+from tallyspark.session import shared_folder
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, row string"
@@ -203,6 +205,14 @@ def test_quality_and_language_on_held_out_documents(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in rows) >= .97 * len(rows)
 
 
+def test_language_sample_takes_one_row_of_a_text(spark):
+    texts = ["one two three"] * 400 + [f"four word{k}" for k in range(5)]
+    docs = frame(spark, texts)
+    once = backoff_langid.train_languages(docs.dropDuplicates(["text"]))
+    hot = backoff_langid.train_languages(docs)
+    assert hot.words == once.words and hot.grams == once.grams and (hot.gram_scores == once.gram_scores).all()
+
+
 def test_language_of_texts_without_letters(spark):
     model = backoff_langid.train_languages(frame(spark, ["the cat sat the cat", "the dog"]))
     got = backoff_langid.predict_language(frame(spark, [None, "", "12 34", "cat"]), model).orderBy("doc_id").collect()
@@ -364,6 +374,17 @@ def test_prefix_tree_join_by_brute_force(spark, policy):
     assert kept == {i for i, (n, c) in want.items() if n == 0 or c == i}
 
 
+def test_rounds_of_the_join_leave_no_tables_of_finished_rounds(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    rng = random.Random(31)
+    base = [" ".join(str(rng.random()) for _ in range(80)) for _ in range(3)]
+    docs = frame(spark, [f"{b} {k}" for k in range(4) for b in base])
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = prefix_tree_join.ngram_components(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 3 for k in range(12)}
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"labels", "ngram-all-links", "ngram-rows"}
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
