@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .distributed import lookup, lookup_parent
+
 
 class ContractError(ValueError):
     """The data cannot support a safe analysis."""
@@ -82,16 +84,41 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def orphan_keys(child: DataFrame, parent: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """(on, orphans): referenced keys without a parent and how many rows refer to each. Null references are reported too.
+
+    Keys are counted before they meet the parents, so a key that many rows share is one row of the anti join.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    return child.groupBy(*keys).agg(F.count(F.lit(1)).alias("orphans")).join(parent.select(*keys), keys, "left_anti")
+
+
+def orphan_count(child: DataFrame, parent: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """One row: how many child rows have no parent."""
+    return orphan_keys(child, parent, on).agg(F.coalesce(F.sum("orphans"), F.lit(0).cast("long")).alias("orphans"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, on: Sequence[str] | str) -> DataFrame:
-    """Child rows without a parent. Null references are reported too."""
-    return child.join(parent.select(on) if isinstance(on, str) else parent.select(*on), on, "left_anti")
+    """Child rows without a parent. Null references are reported too.
+
+    The keys without a parent are found first and written; their rows are then looked up with heavy keys apart (``lookup``).
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    lost = orphan_keys(child, parent, on)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    one = F.when(whole, F.struct(*keys)).alias("__on")
+    named = lookup(child.select("*", one), lost.select(one, F.col("orphans").alias("__orphans")), "__on", "__orphans", "left")
+    return named.where("__on is null or __orphans is not null").select(*child.columns)
 
 
 def identity_mismatches(child: DataFrame, parent: DataFrame, key: str, pairs: Mapping[str, str]) -> DataFrame:
-    """Children whose copied attributes differ from their parent's (child column -> parent column)."""
-    ref = parent.select(F.col(key), *[F.col(p).alias(f"__p_{p}") for p in pairs.values()])
+    """Children whose copied attributes differ from their parent's (child column -> parent column).
+
+    Parents (one row per key) are written with the number of their children, and heavy ones are looked up apart.
+    """
+    ref = parent.select(F.col(key), *[F.col(p).alias(f"__p_{p}") for p in dict.fromkeys(pairs.values())])
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__p_{p}")) for c, p in pairs.items()])
-    return child.join(ref, key).where(differs).drop(*[f"__p_{p}" for p in pairs.values()])
+    return lookup_parent(child, ref, key).where(differs).select(key, *[c for c in child.columns if c != key])
 
 
 def conflicting_payloads(df: DataFrame, key: str, payload_hash: str) -> DataFrame:

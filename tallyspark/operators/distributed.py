@@ -116,6 +116,16 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, weight: str, how: str =
     return found.select(*rows.columns, *[F.col(f"__x.{c}").alias(c) for c in extra])
 
 
+def lookup_parent(rows: DataFrame, parents: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``lookup`` in a parent table (one row per key), whose weights are worked out from ``rows``.
+
+    Keys are counted with map-side combining, so the count of a hot or null key is one row from each task, and only parents that
+    some row refers to are written. ``how`` is inner or left; a null key has no parent.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__weight"))
+    return lookup(rows, parents.join(counts, key), key, "__weight", how).drop("__weight")
+
+
 def bucket_offsets(sums: DataFrame, key: str, levels: Sequence[str]) -> DataFrame:
     """(key, levels, __off): the weight of all buckets before each; ``sums`` has ``__w`` per bucket."""
     levels = list(levels)

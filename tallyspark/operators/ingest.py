@@ -307,7 +307,7 @@ FOREIGN_KEYS = (
 def foreign_key_errors(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(child, key, orphans) for every declared reference."""
     rows = [
-        checks.orphans(tables[child].select(key), tables[parent], key).agg(F.count(F.lit(1)).alias("orphans")).select(
+        checks.orphan_count(tables[child].select(key), tables[parent], key).select(
             F.lit(child).alias("child"), F.lit(key).alias("key"), "orphans")
         for child, key, parent in FOREIGN_KEYS if child in tables and parent in tables
     ]

@@ -18,7 +18,7 @@ from ..functions.hashing import stable_key
 from ..functions.stats import ratio
 from ..functions.text import language_tag, nfkc, normalize_text
 from ..session import cut_lineage, spread
-from .distributed import exact_quantiles, first_n_per_group, lookup, running_total
+from .distributed import exact_quantiles, first_n_per_group, lookup, lookup_parent, running_total
 from .similarity import SimilarityPolicy, similar_groups
 
 UNKNOWN = "UNKNOWN"
@@ -114,12 +114,12 @@ def consistency(left: Column, right: Column) -> Column:
 
 
 def brand_lookup(listings: DataFrame, registry: DataFrame, brand: str = "brand") -> DataFrame:
-    """Adds brand_signal: registered, unregistered or no_brand. A weak signal only."""
-    known = registry.select(F.col("brand_name").alias("__b")).distinct().withColumn("__known", F.lit(True))
-    joined = listings.join(known, listings[brand] == F.col("__b"), "left")
+    """Adds brand_signal: registered, unregistered or no_brand. A weak signal only. Missing and frequent brands stay spread."""
+    known = registry.select(F.col("brand_name").alias(brand)).distinct().withColumn("__known", F.lit(True))
+    joined = lookup_parent(listings, known, brand, "left")
     return joined.withColumn(
         "brand_signal", F.when(F.col(brand).isNull(), "no_brand").when(F.col("__known"), "registered")
-        .otherwise("unregistered")).drop("__b", "__known")
+        .otherwise("unregistered")).drop("__known")
 
 
 def injection_flag(text: Column) -> Column:

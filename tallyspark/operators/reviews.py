@@ -18,6 +18,7 @@ from ..functions.evidence import trend_grade
 from ..functions.lexicon import COMPLAINTS, THEMES, Theme, matches_theme, theme_named
 from ..functions.text import ARABIC_LETTERS, has_text, normalize_text
 from . import checks
+from .distributed import lookup_parent
 
 PERIODS = ("early", "recent")
 FOOD_ASPECT = "الطعام"  # fixed value: the structured food sub-rating
@@ -50,9 +51,9 @@ def reviewer_activity(reviews: DataFrame) -> DataFrame:
 
 
 def enriched(reviews: DataFrame, branches: DataFrame) -> DataFrame:
-    """Reviews with their branch's place and an owner-response flag."""
+    """Reviews with their branch's place and an owner-response flag; a branch may hold any share of the reviews."""
     place = branches.select("branch_id", "branch_label", "city", "neighbourhood")
-    return reviews.join(place, "branch_id").select(
+    return lookup_parent(reviews, place, "branch_id").select(
         "review_id", "brand_name", "branch_id", "branch_label", "city", "neighbourhood", "reviewer_id",
         "review_text", "stars", "published_at", "original_language",
         F.col("owner_response_text").isNotNull().cast("int").alias("has_owner_response"),
@@ -74,9 +75,7 @@ def data_quality(reviews: DataFrame, branches: DataFrame, source_records: DataFr
         F.count_if("is_exact_duplicate").alias("exact_duplicate_source_rows"),
     )
     per_branch = branches.agg(F.count(F.lit(1)).alias("branches"))
-    lost = checks.orphans(reviews.select("branch_id"), branches, "branch_id").agg(
-        F.count(F.lit(1)).alias("orphan_reviews")
-    )
+    lost = checks.orphan_count(reviews.select("branch_id"), branches, "branch_id").withColumnRenamed("orphans", "orphan_reviews")
     wide = per_review.crossJoin(per_source).crossJoin(per_branch).crossJoin(lost)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("counter"), F.col(c).alias("value")) for c in wide.columns

@@ -190,14 +190,18 @@ def review_ingest(spark, folder):
 
 @query("variant_context", f"""
 WITH {EXPORT}
-SELECT key AS context_key, typ AS value_type, count(*) AS rows, max(v) AS largest FROM (
-  SELECT 'service' AS key, 'str' AS typ, '"dine in"' AS v FROM src UNION ALL SELECT 'queue', 'bool', (k > 50)::VARCHAR FROM src
-  UNION ALL SELECT 'party', 'int', k::VARCHAR FROM src UNION ALL SELECT 'tags', 'list', '[' || k || ']' FROM src)
+SELECT key AS context_key, typ AS value_type, count(*) AS rows, max(v) AS largest, max(x) AS largest_number FROM (
+  SELECT 'service' AS key, 'str' AS typ, '"dine in"' AS v, NULL::DOUBLE AS x FROM src UNION ALL SELECT 'queue', 'bool', (k > 50)::VARCHAR, NULL FROM src
+  UNION ALL SELECT 'party', 'int', k::VARCHAR, NULL FROM src UNION ALL SELECT 'tags', 'list', '[' || k || ']', NULL FROM src
+  UNION ALL SELECT 'spent', 'float', NULL, value FROM src WHERE value IS NOT NULL)
 GROUP BY ALL""")
 def variant_context(spark, folder):
     rows = ingest.context_rows(ingest.type_reviews(_exported(spark, folder)))
-    return rows.where("context_key <> 'spent'").groupBy("context_key", "value_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("json_value").alias("largest"))
+    # Numbers with a fraction are compared as numbers; their text is a matter of the writer.
+    number = F.col("value_type") == "float"
+    return rows.groupBy("context_key", "value_type").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.when(~number, F.col("json_value"))).alias("largest"),
+        F.max(F.when(number, F.col("json_value").cast("double"))).alias("largest_number"))
 
 
 @query("detailed_ratings", f"""
@@ -339,7 +343,7 @@ def fk_check(spark, folder):
         ("documents", "doc_id", t("documents").select("doc_id"), t("labels").select("doc_id")),
     )
     rows = [
-        checks.orphans(child, parent, key).agg(F.count(F.lit(1)).alias("orphans")).select(
+        checks.orphan_count(child, parent, key).select(
             F.lit(name).alias("child"), F.lit(key).alias("key"), "orphans") for name, key, child, parent in refs]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import checks, distributed, listing, reviews
 from tallyspark.operators.distributed import exact_quantiles, first_n_per_group, id_levels, lookup, running_total
 
 
@@ -89,3 +90,41 @@ def test_lookup_of_hot_and_null_keys_reads_rows_once(spark, monkeypatch, tmp_pat
     assert set(map(tuple, lookup(rows, groups, "k", "n").collect())) == {r for r in want if r[2] is not None}
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [k#") == 1
+
+
+def _children(spark):
+    """A third of the rows without a key, a third on one key, the rest on many; some of those have no parent."""
+    return spark.range(900).selectExpr(
+        "id", "case when id % 3 = 0 then null when id % 3 = 1 then 7L else id % 40 end as k", "id % 5 as a", "'x' as __x", "2 as rows")
+
+
+@pytest.mark.parametrize("heavy", [1000, 1, 0])
+def test_reference_checks_under_null_and_hot_keys(spark, monkeypatch, heavy):
+    monkeypatch.setattr(distributed, "HEAVY_KEYS", heavy)
+    child = _children(spark).drop("__x")
+    rows = [r.asDict() for r in child.collect()]
+    for lost in (7, 8):
+        parents = {k: k % 5 for k in range(40) if k != lost and k < 36}
+        parent = spark.createDataFrame(list(parents.items()), "k long, a_true long")
+        want = sorted(r["id"] for r in rows if r["k"] not in parents)
+        got = checks.orphans(child, parent, "k")
+        assert got.columns == child.columns and sorted(r.id for r in got.collect()) == want
+        both = checks.orphans(child, parent.withColumnRenamed("a_true", "a"), ["k", "a"])
+        assert sorted(r.id for r in both.collect()) == sorted(r["id"] for r in rows if parents.get(r["k"]) != r["a"])
+        assert checks.orphan_count(child, parent, "k").first().orphans == len(want)
+        bad = checks.identity_mismatches(child, parent, "k", {"a": "a_true"})
+        assert sorted(r.id for r in bad.collect()) == sorted(r["id"] for r in rows if r["k"] in parents and r["a"] != parents[r["k"]])
+    assert checks.orphan_count(child.limit(0), parent, "k").first().orphans == 0
+    assert checks.orphans(child.limit(0), parent, "k").count() == 0 and checks.orphans(child, parent.limit(0), "k").count() == 900
+
+
+def test_brands_and_branches_under_null_and_hot_keys(spark):
+    listings = _children(spark).selectExpr("id", "cast(k as string) as brand")
+    registry = spark.createDataFrame([("7",), ("8",), ("8",), (None,)], "brand_name string")
+    got = {r.id: r.brand_signal for r in listing.brand_lookup(listings, registry).collect()}
+    assert got == {r.id: "no_brand" if r.brand is None else "registered" if r.brand in "78" else "unregistered" for r in listings.collect()}
+    written = _children(spark).selectExpr("id as review_id", "'b' as brand_name", "k as branch_id", "'r' as reviewer_id", "'t' as review_text", "5 as stars",
+                                          "current_timestamp() as published_at", "'en' as original_language", "null as owner_response_text")
+    place = spark.createDataFrame([(7, "seven", "c", "n"), (8, "eight", "c", "n")], "branch_id long, branch_label string, city string, neighbourhood string")
+    seen = sorted((r.review_id, r.branch_label) for r in reviews.enriched(written, place).collect())
+    assert seen == sorted((r.review_id, {7: "seven", 8: "eight"}[r.branch_id]) for r in written.collect() if r.branch_id in (7, 8))
