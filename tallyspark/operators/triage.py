@@ -405,12 +405,40 @@ def check_resume(
 
 @dataclass
 class TriageRun:
-    """``open_items`` is None when every message got a result."""
+    """``open_items`` is None when every message got a result; ``budgets`` (request_id, round, budget) is None when one cap held for all."""
 
     results: DataFrame
     ledger: DataFrame
     rounds: int
     open_items: DataFrame | None = None
+    budgets: DataFrame | None = None
+
+
+def _priced(items: DataFrame, turns: DataFrame, config: TriageConfig) -> DataFrame:
+    """The items' requests with their prompts and what each reserves."""
+    return (
+        request_payloads(with_history(items, turns))
+        .withColumn("prompt", F.concat(F.lit(config.prompt_head), F.col("messages_json")))
+        .withColumn("estimated_input_tokens", money.token_estimate(F.col("prompt")))
+        .withColumn("max_output_tokens", F.lit(config.max_output_tokens).cast("long"))
+        .withColumn("reserved_usd", money.cost_usd(
+            F.col("estimated_input_tokens"), F.col("max_output_tokens"), config.pricing))
+    )
+
+
+def budgeted(requests: DataFrame, cap_usd: Decimal) -> DataFrame:
+    """(request_id, budget): requests (request_id, reserved_usd) dealt in order over budgets, none of which reserves more than the cap.
+
+    A budget takes the requests that start within one stretch of the running total. The stretch is the cap less the largest
+    request, so also the last one ends below the cap. A request that alone is above the cap is an error.
+    """
+    largest = requests.agg(F.max("reserved_usd")).first()[0] or Decimal(0)
+    if largest > money.checked_cap(cap_usd):
+        raise TriageError(f"a request would raise committed spend above USD {cap_usd}")
+    stretch = max(cap_usd - largest, Decimal("0.000001"))  # a millionth: each request has a budget of its own
+    numbered = requests.select("request_id", "reserved_usd", F.regexp_extract("request_id", "[0-9]+", 0).cast("long").alias("batch"))
+    running = running_total(numbered, [], id_levels("batch", 1 << 12), ["batch", "request_id"], F.col("reserved_usd"), "before")
+    return running.select("request_id", F.floor(F.col("before") / F.lit(stretch).cast("decimal(18,6)")).cast("long").alias("budget"))
 
 
 def _next_requests(items: DataFrame, turns: DataFrame, committed: Decimal, config: TriageConfig) -> DataFrame:
@@ -425,14 +453,7 @@ def _next_requests(items: DataFrame, turns: DataFrame, committed: Decimal, confi
     bound = int((config.cap_usd - committed) / least) + 1
     candidates = items.select("request_id").distinct().orderBy("request_id").limit(bound)
     chosen = items.join(F.broadcast(candidates), "request_id", "left_semi")  # at most ``bound`` ids
-    requests = (
-        request_payloads(with_history(chosen, turns))
-        .withColumn("prompt", F.concat(F.lit(config.prompt_head), F.col("messages_json")))
-        .withColumn("estimated_input_tokens", money.token_estimate(F.col("prompt")))
-        .withColumn("max_output_tokens", F.lit(config.max_output_tokens).cast("long"))
-        .withColumn("reserved_usd", money.cost_usd(
-            F.col("estimated_input_tokens"), F.col("max_output_tokens"), price))
-    )
+    requests = _priced(chosen, turns, config)
     upto = W.orderBy("request_id").rowsBetween(W.unboundedPreceding, 0)  # over ``bound`` rows at most
     fits = F.sum("reserved_usd").over(upto) + F.lit(committed).cast("decimal(18,6)") <= F.lit(config.cap_usd)
     return cut_lineage(requests.withColumn("__fits", fits).where("__fits").drop("__fits"))
@@ -460,7 +481,7 @@ def _settle(responses: DataFrame, billed: DataFrame, requests: DataFrame) -> Dec
 
 def run(
     turns: DataFrame, scorer: Scorer, config: TriageConfig = TriageConfig(), done: DataFrame | None = None,
-    stop_at_cap: bool = False,
+    stop_at_cap: bool = False, renew_budget: bool = False,
 ) -> TriageRun:
     """Classify every customer turn exactly once.
 
@@ -469,7 +490,13 @@ def run(
     round did not use is free again for the next. Raw responses are written to the
     shared folder before they are looked at, so a lost executor never leads to a
     second paid call for a finished round.
+
+    One cap holds for the whole run, and a run that needs more is refused. With
+    ``renew_budget`` the caller grants as many budgets of ``cap_usd`` as the job takes:
+    each round deals all its requests over new ones, so the rounds do not grow with the table.
     """
+    if stop_at_cap and renew_budget:
+        raise ValueError("a run either stops at its cap or renews it")
     spark = turns.sparkSession
     messages = customer_messages(turns)
     stored = done.select(*RESULT_COLUMNS) if done is not None else None
@@ -488,12 +515,17 @@ def run(
         "message_id", "conversation_index", "seed_id", "turn_index", "text",
     ))
     ledger_parts: list[DataFrame] = []
+    budget_parts: list[DataFrame] = []
     committed, rounds, left_open = Decimal(0), 0, None
     while not items.isEmpty():
         rounds += 1
         if rounds > config.max_rounds:
             raise TriageError(f"messages still open after {config.max_rounds} rounds")
-        requests = _next_requests(items, turns, committed, config)
+        if renew_budget:
+            requests = cut_lineage(_priced(items, turns, config))
+            budget_parts.append(cut_lineage(budgeted(requests, config.cap_usd)).withColumn("round", F.lit(rounds)))
+        else:
+            requests = _next_requests(items, turns, committed, config)
         if requests.isEmpty():
             if not stop_at_cap:
                 raise TriageError(f"the next request would raise committed spend above USD {config.cap_usd}")
@@ -532,7 +564,8 @@ def run(
         if not agree["matches"]:
             raise TriageError(f"{agree['rows_in']} messages in, {agree['rows_out']} results out")
     empty = spark.createDataFrame([], ", ".join(f"{c} {_LEDGER_TYPES[c]}" for c in LEDGER_COLUMNS))
-    return TriageRun(results, reduce(DataFrame.unionByName, ledger_parts, empty), rounds, left_open)
+    granted = reduce(DataFrame.unionByName, budget_parts).select("request_id", "round", "budget") if budget_parts else None
+    return TriageRun(results, reduce(DataFrame.unionByName, ledger_parts, empty), rounds, left_open, granted)
 
 
 def renumbered(items: DataFrame) -> DataFrame:

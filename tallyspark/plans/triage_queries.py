@@ -175,7 +175,8 @@ WITH {RESULTS}
 SELECT message_id, conv_id AS conversation_index, seed AS seed_id, turn AS turn_index, intent, urgent AS is_urgent,
        label AS triage_label, source AS decision_source, band AS confidence_band FROM labelled""")
 def triage_run(spark, folder):
-    done = tr.run(chat_turns(spark, folder), tr.stub_scorer(stub_decision, stub_spoils), CONFIG)
+    """Every message of the table, however many budgets of the cap that takes; the stub's calls cost nothing."""
+    done = tr.run(chat_turns(spark, folder), tr.stub_scorer(stub_decision, stub_spoils), CONFIG, renew_budget=True)
     return done.results
 
 

@@ -250,6 +250,36 @@ def test_the_cap_ends_a_run_before_the_first_request_over_it(spark):
     assert tr.ledger_totals(kept.ledger).first().committed_usd <= Decimal("0.0052")
 
 
+def test_a_renewed_budget_finishes_the_job_and_no_budget_exceeds_the_cap(spark):
+    cap = Decimal("0.0120")
+    config = tr.TriageConfig(batch_size=2, cap_usd=cap)
+    done = tr.run(turns(spark, 12), tr.stub_scorer(complaint), config, renew_budget=True)
+    assert done.results.count() == 12 and done.open_items is None
+    reserved = done.ledger.where("event = 'reserved'").join(done.budgets, "request_id").groupBy("round", "budget").agg(
+        F.sum("reserved_usd").alias("usd"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(reserved) > 1 and sum(r.n for r in reserved) == 6 and all(r.usd <= cap for r in reserved)
+    with pytest.raises(tr.TriageError, match="above USD"):
+        tr.run(turns(spark, 12), tr.stub_scorer(complaint), tr.TriageConfig(batch_size=2, cap_usd=Decimal("0.0050")), renew_budget=True)
+
+
+def test_budgets_hold_several_requests_below_the_cap(spark):
+    rows = [(f"req-{i:09d}{end}", Decimal(f"0.{1 + i % 3}")) for i in range(40) for end in ("", ".a")]
+    df = spark.createDataFrame(rows, "request_id string, reserved_usd decimal(18,6)")
+    got = df.join(tr.budgeted(df, Decimal("1.00")), "request_id").groupBy("budget").agg(F.sum("reserved_usd").alias("usd")).collect()
+    assert max(r.usd for r in got) <= 1 and len(got) <= 24 and sum(r.usd for r in got) == sum(r[1] for r in rows)
+
+
+def test_triage_run_finishes_a_table_that_one_budget_cannot_pay(spark, monkeypatch):
+    from dataclasses import replace
+
+    from tallyspark.plans import QUERIES, triage_queries as tq
+
+    monkeypatch.setattr(tq, "CONFIG", replace(tq.CONFIG, cap_usd=Decimal("0.01")))
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["triage_run"](spark, folder)
+    assert got.count() == cv.customer_messages(tq.chat_turns(spark, folder)).count()
+
+
 def test_forecast_equals_the_built_prompts(spark):
     t = turns(spark, 7, 3)
     config = tr.TriageConfig(batch_size=4)
