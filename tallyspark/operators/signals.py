@@ -245,10 +245,16 @@ def narrative_violations(sentences: DataFrame, claim_rows: DataFrame) -> DataFra
 def ranked_claims(claim_rows: DataFrame, snapshot: Mapping[str, str]) -> DataFrame:
     """Eligible claims in a total order, each carrying the frozen snapshot's id.
 
-    There are as many claims as brands times themes, so one ordering window suffices.
+    There are as many claims as brands times themes, so one ordering window suffices. It orders by the change worked out
+    from the counts in whole numbers (units of 1e-12): equal changes are equal, where doubles differ in their last digits,
+    and go by claim id.
     """
-    w = W.orderBy(F.desc("absolute_change_per_1000"), "claim_id")
+    early, recent, early_texts, recent_texts = (F.col("numbers")[i].cast("decimal(18,0)") for i in range(4))
+    counted = claim_rows.where(F.col("evidence_grade") != "insufficient").withColumns({
+        "__em": early, "__rm": recent, "__et": F.greatest(early_texts, F.lit(1)), "__rt": F.greatest(recent_texts, F.lit(1))})
+    exact = F.expr("1000000000000000 * (__rm * __et - __em * __rt) div (__et * __rt)")
+    w = W.orderBy(F.desc("__change"), "claim_id")
     frozen = fingerprint({k: F.lit(v) for k, v in snapshot.items()})
-    return claim_rows.where(F.col("evidence_grade") != "insufficient").select(
+    return counted.withColumn("__change", exact).select(
         "claim_id", "evidence_grade", "absolute_change_per_1000", F.row_number().over(w).alias("place"),
         frozen.alias("snapshot_id"))

@@ -177,9 +177,11 @@ def claim_validator(spark, folder):
     return sg.narrative_violations(_sentences(rows), rows)
 
 
+# Doubles tell equal changes apart by their last digits, so claims are ranked by whole numbers made of the counts.
 @query("ranked_claims", f"""
-WITH {CLAIM} SELECT claim_id, grade AS evidence_grade, round(change, 6) AS absolute_change_per_1000, row_number() OVER (ORDER BY change DESC, claim_id)::INT AS place
-FROM claim WHERE grade <> 'insufficient'""")
+WITH {CLAIM}, n AS (SELECT *, rm::HUGEINT AS m2, em::HUGEINT AS m1, greatest(rt, 1)::HUGEINT AS t2, greatest(et, 1)::HUGEINT AS t1 FROM claim WHERE grade <> 'insufficient')
+SELECT claim_id, grade AS evidence_grade, round(change, 6) AS absolute_change_per_1000,
+       row_number() OVER (ORDER BY (1000000000000000::HUGEINT * (m2 * t1 - m1 * t2)) // (t1 * t2) DESC, claim_id)::INT AS place FROM n""")
 def ranked_claims(spark, folder):
     snapshot = {"lexicon": "lexicon-v1", "dedup": "first-occurrence-v1", "ranking": "change-v1"}
     return rounded(sg.ranked_claims(_claims(spark, folder), snapshot).drop("snapshot_id"))

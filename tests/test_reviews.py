@@ -150,3 +150,14 @@ def test_claims_and_their_validator(reviews):
     assert got == {"number": {"unsupported_number"}, "cause": {"causal_verb", "wrong_direction"}, "free": {"unbound"}, "brand": {"wrong_brand"}}
     ranked = sg.ranked_claims(claims, {"a": "1"}).collect()
     assert [r.place for r in ranked] == list(range(1, len(ranked) + 1)) and len({r.snapshot_id for r in ranked}) == 1
+
+
+def test_equal_changes_rank_by_claim_id_whatever_their_doubles(spark):
+    counts = {"a": (7, 8, 90, 90), "b": (5, 6, 90, 90), "c": (6, 7, 90, 90), "top": (5, 7, 90, 90), "low": (9, 5, 90, 90), "none": (0, 0, 0, 90)}
+    rows = [
+        (k, "eligible", 1000.0 * (rm / rt) - (1000.0 * (em / et) if et else 0.0), [str(em), str(rm), str(et), str(rt)])
+        for k, (em, rm, et, rt) in counts.items()]
+    assert len({r[2] for r in rows[:3]}) > 1
+    claims = spark.createDataFrame(rows, "claim_id string, evidence_grade string, absolute_change_per_1000 double, numbers array<string>")
+    got = sg.ranked_claims(claims, {"a": "1"}).orderBy("place").collect()
+    assert [r.claim_id for r in got] == ["top", "a", "b", "c", "none", "low"]
