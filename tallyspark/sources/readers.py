@@ -33,7 +33,7 @@ def json_records(spark: SparkSession, folder: str, pattern: str = "*.json", line
     blocks = rows.groupBy("source_file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__w"))
     offsets = bucket_offsets(blocks.drop("__first"), "source_file", ["__block"])
     starts = blocks.join(offsets, ["source_file", "__block"]).select("source_file", "__block", "__first", "__off")
-    return rows.join(starts, ["source_file", "__block"]).select(
+    return rows.join(F.broadcast(starts), ["source_file", "__block"]).select(  # one row a split; a shuffle would send a split's records to one task
         "source_file", (F.col("__id") - F.col("__first") + F.col("__off")).alias("source_ordinal"), "record")
 
 
@@ -85,7 +85,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = rows.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__w"))
     offsets = bucket_offsets(blocks.drop("__first"), "__file", ["__block"])
     starts = blocks.join(offsets, ["__file", "__block"]).select("__file", "__block", (F.col("__off") - F.col("__first") + 1).alias("__add"))
-    return rows.join(starts, ["__file", "__block"]).withColumn("line_number", F.col("__id") + F.col("__add")).drop("__file", "__block", "__id", "__add")
+    return rows.join(F.broadcast(starts), ["__file", "__block"]).withColumn("line_number", F.col("__id") + F.col("__add")).drop("__file", "__block", "__id", "__add")
 
 
 def bad_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -214,3 +214,15 @@ def test_line_numbers_hold_over_splits_and_blank_lines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     want = [("one.jsonl", k + 1, x) for k, x in enumerate(lines) if x == '{"a": '] + [("two.jsonl", 3, "bad")]
     assert found == want
+
+
+def test_line_numbers_need_no_shuffle_of_records(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables above it
+    (tmp_path / "a.txt").write_text("".join(f'{{"i":{i}}}\n' for i in range(50)))
+    records = readers.json_records(spark, str(tmp_path), "*.txt", lines=True)
+    assert "BroadcastHashJoin" in records._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.source_ordinal for r in records.collect()) == list(range(50))
+    lines = readers.numbered_lines(spark, str(tmp_path))
+    assert "BroadcastHashJoin" in lines._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
