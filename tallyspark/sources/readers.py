@@ -111,10 +111,91 @@ def csv_typed(spark: SparkSession, path: str, schema: str, columns: Sequence[str
     return df.select(*columns) if columns else df
 
 
+# --- fixed values: pieces of a file that is hashed, and endings of files that readers unpack ---
+CHUNK_BYTES = 1 << 16
+PACKED = r"\.(?:gz|bz2|deflate|lz4|snappy|zst)$"
+# -------------------------------------------------------------------------------------------------
+
+
+def _chunks(batches):
+    """Arrow batches of lines, in the order of their split, as rows of some 64 KB of joined lines."""
+    import pyarrow as pa
+
+    names = ["path", "length", "block", "seq", "chunk"]
+    key, held, size, seq = None, [], 0, 0
+    for batch in batches:
+        rows = []
+        for path, length, block, line in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "block", "line")]):
+            if held and (size >= CHUNK_BYTES or (path, length, block) != key):
+                rows.append((*key, seq, b"\n".join(held)))
+                held, size, seq = [], 0, seq + 1
+            key = (path, length, block)
+            held.append(line)
+            size += len(line) + 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*key, seq, b"\n".join(held))], names)
+
+
+def _digests(batches):
+    """(path, sha256) from chunks in file order; only the state of one hash is held.
+
+    Readers take off a byte order mark and the last line's end. The file's length tells which of them were there.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    mark = BOM.encode()
+    current, seen, plain, marked = None, 0, None, None
+
+    def done():
+        path, length = current
+        ends = {0: (plain, b""), 1: (plain, b"\n"), len(mark): (marked, b""), len(mark) + 1: (marked, b"\n")}
+        if length - seen not in ends:
+            raise ValueError(f"{path} has {length} bytes, of which {seen} were read")
+        state, end = ends[length - seen]
+        state.update(end)
+        return pa.RecordBatch.from_pydict({"path": [path], "sha256": [state.hexdigest()]})
+
+    for batch in batches:
+        for path, length, chunk in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "chunk")]):
+            if (path, length) != current:
+                if current:
+                    yield done()
+                current, seen, plain, marked = (path, length), 0, hashlib.sha256(), hashlib.sha256(mark)
+                part = chunk
+            else:
+                part = b"\n" + chunk
+            plain.update(part)
+            marked.update(part)
+            seen += len(part)
+    if current:
+        yield done()
+
+
 def file_manifest(spark: SparkSession, folder: str, row_counts: DataFrame | None = None, pattern: str = "*") -> DataFrame:
-    """(file_name, sha256 of the bytes, logical rows). ``row_counts`` is (source_file, rows)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("sha256"))
+    """(file_name, sha256 of the bytes, logical rows). ``row_counts`` is (source_file, rows).
+
+    A file is read in splits, its lines are packed into chunks, and the chunks pass one hash in file order, so a task holds a batch of
+    chunks and never a file. Only packed files (.gz and the like), which readers would unpack, and a single line are held whole.
+    Empty files are not listed, as Spark's readers pass over them.
+    """
+    read = spark.read.option("pathGlobFilter", pattern)
+    listing = read.format("binaryFile").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    packed = [r.path for r in listing.where(F.col("path").rlike(PACKED)).collect()]
+    lines = read.option("lineSep", "\n").text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    chunks = lines.where(~F.col("path").rlike(PACKED)).mapInArrow(
+        _chunks, "path string, length long, block long, seq long, chunk binary")
+    placed = chunks.repartition("path").sortWithinPartitions("path", "block", "seq")
+    hashed = placed.mapInArrow(_digests, "path string, sha256 string")
+    if packed:
+        hashed = hashed.unionByName(spark.read.format("binaryFile").load(packed).select("path", F.sha2("content", 256).alias("sha256")))
+    files = hashed.select(name, "sha256")
     if row_counts is None:
         return files
     counted = row_counts.select(F.col("source_file").alias("file_name"), F.col("rows").alias("logical_row_count"))

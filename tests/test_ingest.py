@@ -226,3 +226,24 @@ def test_line_numbers_need_no_shuffle_of_records(spark, tmp_path):
     lines = readers.numbered_lines(spark, str(tmp_path))
     assert "BroadcastHashJoin" in lines._jdf.queryExecution().sparkPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_manifest_hashes_bytes_without_holding_a_file(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    contents = {
+        "a": b"one\ntwo\n", "b": b"one\ntwo", "c": b"\n", "d": b"\n\n", "e": b"\xef\xbb\xbfmark\r\nx", "f": b"\xef\xbb\xbfmark\n", "g": b"\xff\x00\xfe\n\xc3",
+        "big": b"".join(b"%d line %s\n" % (i, b"x" * (i % 700)) for i in range(9000)), "h.gz": gzip.compress(b"packed\n")}
+    for k, v in contents.items():
+        (tmp_path / k).write_bytes(v)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")  # the big file takes several splits
+    try:
+        found = readers.file_manifest(spark, str(tmp_path))
+        assert {r.file_name: r.sha256 for r in found.collect()} == {k: hashlib.sha256(v).hexdigest() for k, v in contents.items()}
+        (tmp_path / "h.gz").unlink()
+        plain = readers.file_manifest(spark, str(tmp_path))
+        assert "sha2(content" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
