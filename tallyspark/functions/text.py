@@ -17,6 +17,14 @@ FOLD_FROM, FOLD_TO = "أإآىة", "ااايه"
 ARABIC_LETTERS = "[\\u0600-\\u06FF]"
 LATIN_LETTERS = "[A-Za-z]"
 SHEET_TRIGGERS = "^[=+\\-@]"
+# Characters that stay as they are in compatibility normal form, whatever stands beside them. Not all of them: others only cost a call.
+NORMAL_RANGES = (
+    (0x00, 0x7F), (0xC0, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0xA1, 0xA7), (0xAB, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7),
+    (0xBB, 0xBB), (0xBF, 0xBF), (0x2012, 0x2016), (0x2018, 0x2023), (0x20A0, 0x20A7),
+    (0x38E, 0x3A1), (0x3A3, 0x3CE), (0x400, 0x482), (0x48A, 0x52F),
+    (0x5D0, 0x5EA), (0x60C, 0x60F), (0x61F, 0x64A), (0x660, 0x66F), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF),
+    (0xAC00, 0xD7A3), (0x1F300, 0x1F64F),
+)
 # -----------------------------------------------------------------------------
 
 
@@ -25,9 +33,14 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+_OTHERS = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in NORMAL_RANGES[1:])
+#: Runs of such characters are passed over, ASCII first, and never tried again; a match means that something else follows them.
+_MAY_CHANGE = f"^(?:[\\x00-\\x7F]++|[{_OTHERS}]++)*+(?s:.)"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form; plain ASCII never leaves the JVM."""
-    return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
+    """Compatibility normal form; only texts with a character that it may change leave the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
 def fold(text: Column) -> Column:

@@ -161,3 +161,21 @@ def test_equal_changes_rank_by_claim_id_whatever_their_doubles(spark):
     claims = spark.createDataFrame(rows, "claim_id string, evidence_grade string, absolute_change_per_1000 double, numbers array<string>")
     got = sg.ranked_claims(claims, {"a": "1"}).orderBy("place").collect()
     assert [r.claim_id for r in got] == ["top", "a", "b", "c", "none", "low"]
+
+
+def test_only_texts_that_normalisation_may_change_leave_the_jvm(spark):
+    import unicodedata
+
+    from tallyspark.functions import text as tx
+
+    second = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    second |= {int(p[1], 16) for p in (unicodedata.decomposition(chr(c)).split() for c in range(0x110000)) if len(p) == 2 and p[0][0] != "<"}
+    kept = [c for a, b in tx.NORMAL_RANGES for c in range(a, b + 1)]
+    assert all(unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and c not in second for c in kept)
+
+    stay = ["", "plain\n", "déjà vu – “œuvre” été", "Ελλάδα ήταν", "привет ёж", "قهوه كل مره", "\U0001F600 日本か 한국", "".join(map(chr, kept))]
+    leave = ["e\u0301", "a\ufb01b", "x²", "line\nＡ", "هـ\u064b", "ش\ufdfa", "é" * 5000 + "…"]
+    df = spark.createDataFrame([(t,) for t in stay + leave], "t string")
+    got = [r[0] for r in df.select(F.col("t").rlike(tx._MAY_CHANGE)).collect()]
+    assert got == [False] * len(stay) + [True] * len(leave)
+    assert [r[0] for r in df.select(tx.nfkc(F.col("t"))).collect()] == [unicodedata.normalize("NFKC", t) for t in stay + leave]
