@@ -121,6 +121,27 @@ def test_prices_round_up_and_tokens_count_bytes(spark):
         money.checked_cap(Decimal(0))
 
 
+def test_first_letters_of_a_pattern_change_no_verdict(spark):
+    """Every branch, with letters that only Unicode folding makes equal, against the same pattern without its guard."""
+    from tallyspark.functions import rules as ru
+
+    words = [
+        "crypto", "forex", "guaranteed return", "guaranteed returns", "earn money", "buy followers", "seo service", "\u017feo services", "CRYPTO", "acrypto",
+        "زيادة متابعين", "شراء لايكات", "استثمار كبير مضمون", "فوركس ارباح", "خدمات سيو نقدم", "i'll sue", "I will call the police", "\u0130 will sue", "\u0131'll sue",
+        "i am going to report you", "I'll post this online", "legal action", "my lawyer", "consumer protection", "سوف أرفع قضية", "حارفع بلاغ", "هارفع شكوى", "راحأقدم بلاغ",
+        "هكلم الشرطة", "سابلغ المحامي", "هنشر ده على فيسبوك", "افضح الناس", "food poisoning", "poisoned", "allergic reaction", "anaphylaxis", "went to hospital",
+        "went to the hospital", "emergency room", "data breach", "lea\u212aed my data", "leaked my personal data", "card details exposed", "تسمم بعد الأكل", "اختناق بسبب", "روحنا المستشفى",
+        "رحت الطوارئ", "سربتم بياناتي", "انكشفت بطاقتي", "refund", "money bac\u212a", "money back", "chargeback", "استرجاع فلوس", "استرداد", "رجعولي المبلغ", "refunds", "قrefund", "nothing",
+    ]
+    texts = [t for w in words for t in (w, w.upper(), f"please, {w}!", f"x{w}y", f"é{w}", f"line\n{w}\nmore")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (ru.SPAM_PATTERN, ru.ESCALATION_PATTERN, ru.HARM_PATTERN, ru.REFUND_PATTERN):
+        assert pattern.startswith("(?=")
+        bare = pattern[pattern.index(")") + 1:]
+        seen = df.select("t", *[F.col("t").rlike(f"(?iduU){p}").alias(n) for n, p in (("now", pattern), ("before", bare))]).collect()
+        assert [r.t for r in seen if r.now != r.before] == [] and sum(r.now for r in seen) >= 20
+
+
 def ledger(spark, rows):
     return spark.createDataFrame(rows, "event string, request_id string, reserved_usd decimal(18,6), actual_usd decimal(18,6)")
 
