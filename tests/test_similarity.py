@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import listing as ls
+from tallyspark.operators import listing as ls, similarity
 from tallyspark.operators.similarity import SimilarityPolicy, connected_components, similar_groups
 
 
@@ -83,3 +83,49 @@ def test_components_are_the_smallest_reachable_node(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 101), (7, 7), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99, 101: 99}
+
+
+@pytest.mark.parametrize("policy", [
+    SimilarityPolicy(extra=0), SimilarityPolicy(extra=100), SimilarityPolicy(extra=37, percent=61, width=3), SimilarityPolicy(broadcast_ids=0, broadcast_sets=0),
+    SimilarityPolicy(broadcast_shingles=400), SimilarityPolicy(linear=0, broadcast_ids=5, broadcast_sets=3)])
+def test_what_is_posted_or_broadcast_changes_no_group(spark, policy):
+    rows = texts_with_copies(2)
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: (r.representative, r.copies) for r in ls.near_duplicates(df, "id", "t", policy).collect()}
+    assert got == brute(rows, policy.width, policy.percent)
+
+
+def test_texts_without_partners_leave_before_their_whole_sets_are_passed(spark, monkeypatch):
+    """A passage that 200 texts quote does not keep them, nor do exact copies: only the near copies are posted whole."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    quoted, base = prose(12), prose(120)
+    rows = [(k, f"{quoted} {prose(150)}") for k in range(200)] + [(200 + k, base) for k in range(20)] + [(300, base.replace(" ", " new ", 1)), (301, f"{base} end")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    seen, posted = [], similarity._prefixes
+
+    def spy(classes, policy):
+        seen.append(classes.count())
+        return posted(classes, policy)
+
+    monkeypatch.setattr(similarity, "_prefixes", spy)
+    got = {r.id: (r.representative, r.copies) for r in ls.near_duplicates(df, "id", "t").collect()}
+    assert got == brute(rows) and got[301] == (200, 22) and seen == [3]
+
+
+def test_rounds_that_settle_little_are_given_up(spark, monkeypatch):
+    """100 texts around one passage meet in all pairs, but the longer ones do not link: at most two rounds of hubs are spent on them."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = prose(90)
+    rows = [(k, f"{passage} {prose(rng.choice((9, 14, 19)))}") for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    met, verified = [], similarity._verified
+
+    def spy(pairs, classes, policy):
+        met.append(pairs.count())
+        return verified(pairs, classes, policy)
+
+    monkeypatch.setattr(similarity, "_verified", spy)
+    got = {r.id: (r.representative, r.copies) for r in ls.near_duplicates(df, "id", "t", SimilarityPolicy(linear=0)).collect()}
+    assert got == brute(rows) and len(met) <= 3
