@@ -1,9 +1,10 @@
 """Similarity self-join of texts on word shingles, and groups of linked rows.
 
-Texts with equal shingle sets are one class, and only classes are joined. First a class posts the smallest hashes of its set only, a third
-of them, and unless enough of these are posted by other classes too, it has no partner and leaves; most classes never pass more than
-that. The rest list their shingles from rare to frequent; of two classes that link at Jaccard ``percent``, both must hold a common shingle among their first ``n - ceil(percent * n) + 1``. Shingles that
-only one class holds are the rarest of all, so a class with enough of them has no partner and leaves before any pair is formed.
+Texts with equal shingle sets are one class, and only classes are joined. First a class posts only the smallest hashes of its set, three
+tenths of them as a rule, and unless enough of these are posted by other classes too, it has no partner and leaves; most classes never
+pass more than that. The rest list their shingles from rare to frequent; of two classes that link at Jaccard ``percent``, both must hold a
+common shingle among their first ``n - ceil(percent * n) + 1``. Shingles that only one class holds are the rarest of all, so a class with
+enough of them has no partner and leaves before any pair is formed.
 
 Pairs that meet in such a shingle are bounded by length and by the two positions, and what is left is counted on the whole sets. Large
 groups of near copies are settled in rounds: as long as many pairs are open, each class meets one hub for each shingle, and only
