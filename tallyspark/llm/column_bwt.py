@@ -6,8 +6,9 @@ segments, each holding the strings of one anchor; segments meet by anchor, equal
 compared are the different segments of one anchor.
 
 These go, many anchors together, through the construction of their common Burrows-Wheeler transform: each round inserts one symbol
-of every segment, from the last to the first, reading the transform from one file and writing the next (an anchor's own bytes
-count as one symbol, since all its segments share them). The places of the inserted suffixes follow from the number of equal symbols
+of every segment, from the last to the first, reading the transform from one file and writing the next. Every string runs
+through its anchor, so suffixes that start behind one are never asked for: once the anchors are reached, the order of what follows
+them is kept and the transform goes on with the symbols before them. The places of the inserted suffixes follow from the number of equal symbols
 before them. When all rounds are done suffixes are in order, and the common prefixes of neighbours tell which strings
 repeat. An anchor with very many different segments would be a task of its own: its strings are dealt out by their own hash
 and counted instead, which is exact as well.
@@ -25,7 +26,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import map_texts, written
 
@@ -94,84 +95,94 @@ def segments(data: np.ndarray, policy: RepeatPolicy, powers: _Powers) -> tuple[n
 def column_wise_order(strings: list[np.ndarray], folder: str) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes of the strings in order, as (string, start): one symbol of every string is inserted in each round.
 
-    The transform lies in a file that each round reads from front to back while writing the next. Symbol 0 is the border before a
-    string; the ends of strings sort before every symbol, by string.
+    The transform lies in a file that each round reads from front to back while writing the next, and then removes: to write over it would
+    make the file system wait for the disk. Symbol 0 is the border before a string; the ends of strings sort before every symbol, by string.
     """
     m = len(strings)
     sizes = np.array([len(s) for s in strings], np.int64)
     rounds = int(sizes.max()) if m else 0
-    flat = np.concatenate(strings) if m else np.zeros(0, np.uint16)
+    flat = np.concatenate(strings) if m else np.zeros(0, np.uint8)
     stop = np.cumsum(sizes)
-    names = [os.path.join(folder, x) for x in ("even", "odd")]
-    symbol = np.where(sizes > 0, flat[np.maximum(stop - 1, 0)] if len(flat) else 0, 0).astype(np.uint16)
+    names = [os.path.join(folder, str(t)) for t in range(rounds + 1)]
+    symbol = np.where(sizes > 0, flat[np.maximum(stop - 1, 0)] if len(flat) else 0, 0).astype(flat.dtype)
     symbol.tofile(names[0])
     place = np.arange(m, dtype=np.int64)  # of each string's newest suffix in the transform
     history = [(np.arange(m), place)]
     alive = np.flatnonzero(sizes > 0)
     for t in range(1, rounds + 1):
-        bwt = np.fromfile(names[(t - 1) % 2], np.uint16)
+        bwt = np.fromfile(names[t - 1], flat.dtype)
+        os.remove(names[t - 1])
         by_symbol = np.argsort(bwt, kind="stable")  # a radix sort: one pass for each byte of a symbol
-        begins = np.searchsorted(bwt[by_symbol], np.arange(int(bwt.max()) + 2))
-        borders = begins[1]  # strings that are complete have the border symbol and no further suffix
-        c = bwt[place[alive]].astype(np.int64)
-        key = by_symbol.astype(np.int64) + bwt[by_symbol].astype(np.int64) * len(bwt)
-        new = m - borders + np.searchsorted(key, c * len(bwt) + place[alive])
-        before = np.where(sizes[alive] > t, flat[np.maximum(stop[alive] - t - 1, 0)], 0).astype(np.uint16)
+        rank = np.empty(len(bwt), np.int64)
+        rank[by_symbol] = np.arange(len(bwt))
+        # Strings that are complete have the border symbol and no further suffix.
+        new = m - np.count_nonzero(bwt == 0) + rank[place[alive]]
+        before = np.where(sizes[alive] > t, flat[np.maximum(stop[alive] - t - 1, 0)], 0).astype(flat.dtype)
         order = np.argsort(new)
         spots = new[order] - np.arange(len(new))  # where np.insert counts places of the old array
         # Everything inserted before moves on by the number of new suffixes in front of it.
-        np.insert(bwt, spots, before[order]).tofile(names[t % 2])
-        history.append((alive, new, spots))
+        np.insert(bwt, spots, before[order]).tofile(names[t])
+        history.append((alive, new))
         place = place.copy()
         place[alive] = new
         alive = alive[sizes[alive] > t]
+    os.remove(names[rounds])
     # Replay the moves once, from the last round back, to learn where every suffix ended.
     n = int(sizes.sum()) + m
     string, start = np.empty(n, np.int64), np.empty(n, np.int64)
     free = np.arange(n)
     for t in range(rounds, 0, -1):
-        who, where, _ = history[t]
+        who, where = history[t]
         string[free[where]], start[free[where]] = who, sizes[who] - t
         free = np.delete(free, where)
     string[free], start[free] = np.arange(m), sizes
     return string, start
 
 
+def anchored_order(parts: list[np.ndarray], anchors: list[int], at: list[int], gram: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """All starts up to the anchors of the segments in order, as (segment, start).
+
+    Every string runs through its anchor, so no suffix that starts behind one is ever asked for. The construction goes from the ends of
+    the segments to their anchors; from there on the order of what follows an anchor is all that is kept of it, as the order in
+    which the strings before anchors end.
+    """
+    symbols = [p + np.uint8(1) for p in parts]  # UTF-8 has no byte 255
+    behind, first = column_wise_order([s[x + gram:] for s, x in zip(symbols, at)], folder)
+    number = {a: i for i, a in enumerate(dict.fromkeys(anchors))}
+    ends = behind[first == 0]
+    ends = ends[np.argsort([number[anchors[i]] for i in ends], kind="stable")]
+    string, start = column_wise_order([symbols[i][:at[i]] for i in ends], folder)
+    return ends[string], start
+
+
 def repeated_starts(parts: list[np.ndarray], anchors: list[int], at: list[int], counts: list[int], policy: RepeatPolicy, folder: str) -> list[np.ndarray]:
     """For each segment of a bucket, which of its starts begin a string that another segment of the same anchor holds."""
-    k, length = policy.gram, policy.length
-    number = {a: 256 + i for i, a in enumerate(dict.fromkeys(anchors))}
-    strings = [np.concatenate([p[:x].astype(np.uint16) + 1, [number[a] + 1], p[x + k:].astype(np.uint16) + 1]).astype(np.uint16)
-               for p, a, x in zip(parts, anchors, at)]
-    string, start = column_wise_order(strings, folder)
+    string, start = anchored_order(parts, anchors, at, policy.gram, folder)
     limit = np.array(counts)
     mine = start < limit[string]
     # Only starts of strings matter: neighbours among them, since all have the full length.
     string, start = string[mine], start[mine]
-    out = [np.zeros(c, bool) for c in counts]
-    if len(string) < 2:
-        return out
     begin = np.cumsum([0, *map(len, parts)])[:-1]
     flat = np.concatenate(parts)
     where = begin[string] + start
     same = np.zeros(len(string), bool)
     step = 20_000
-    group = np.array([number[a] for a in anchors])[string]
+    group = np.unique(anchors, return_inverse=True)[1][string]
+    whole = np.lib.stride_tricks.sliding_window_view(flat, policy.length)
+    short = np.lib.stride_tricks.sliding_window_view(flat, min(8, policy.length))
     for a in range(0, len(string) - 1, step):
         b = min(a + step, len(string) - 1)
         near = np.flatnonzero(group[a:b] == group[a + 1:b + 1]) + a
-        # Most neighbours differ early: compare a few bytes first, then the rest of what is left.
-        for lo, hi in ((0, min(8, length)), (8, min(64, length)), (64, length)):
-            if not len(near):
-                break
-            span = np.arange(lo, hi)
-            near = near[(flat[where[near][:, None] + span] == flat[where[near + 1][:, None] + span]).all(1)]
+        # Many neighbours differ early: compare a few bytes first, then all of what is left.
+        for view in (short, whole):
+            near = near[(view[where[near]] == view[where[near + 1]]).all(1)]
         same[near] = True
     again = same.copy()
     again[1:] |= same[:-1]
-    for s, p in zip(string[again], start[again]):
-        out[s][p] = True
-    return out
+    edge = np.cumsum([0, *counts])
+    flags = np.zeros(edge[-1], bool)
+    flags[edge[string[again]] + start[again]] = True
+    return np.split(flags, edge[1:-1])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -183,8 +194,8 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _segment_rows(docs: DataFrame, policy: RepeatPolicy, full: bool) -> DataFrame:
-    """(anchor[, segment, row, first, n]) of every segment of every document."""
+def _segment_rows(docs: DataFrame, policy: RepeatPolicy) -> DataFrame:
+    """(anchor, segment, row, first, n) of every segment of every document."""
 
     def run(batches):
         powers = _Powers()
@@ -193,11 +204,9 @@ def _segment_rows(docs: DataFrame, policy: RepeatPolicy, full: bool) -> DataFram
 
             def flush():
                 cols = [np.concatenate([o[k] for o in out]) for k in range(4)]
-                made = [pa.array(cols[0].view(np.int64))]
-                if full:
-                    made += [pa.array(cols[1].view(np.int64)), pa.array(np.repeat(np.array(rows, np.int64), [len(o[0]) for o in out])),
-                             pa.array(cols[2]), pa.array(cols[3].astype(np.int32))]
-                return pa.RecordBatch.from_arrays(made, names=["anchor", "segment", "row", "first", "n"][:len(made)])
+                made = [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)),
+                        pa.array(np.repeat(np.array(rows, np.int64), [len(o[0]) for o in out])), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))]
+                return pa.RecordBatch.from_arrays(made, names=["anchor", "segment", "row", "first", "n"])
 
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = segments(_bytes(text), policy, powers)
@@ -211,14 +220,13 @@ def _segment_rows(docs: DataFrame, policy: RepeatPolicy, full: bool) -> DataFram
             if out:
                 yield flush()
 
-    schema = "anchor long, segment long, row long, first long, n int" if full else "anchor long"
-    return docs.select("row", "text").mapInArrow(run, schema)
+    return docs.select("row", "text").mapInArrow(run, "anchor long, segment long, row long, first long, n int")
 
 
 def repeated_ranges(docs: DataFrame, policy: RepeatPolicy = RepeatPolicy()) -> DataFrame:
     """(row, start, stop): byte ranges of (row, text) covered by strings that start twice or more; ranges may overlap."""
-    often = _segment_rows(docs, policy, False).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    met = written(_segment_rows(docs, policy, True).join(often, "anchor"), "repeat-segments")
+    often = F.count("*").over(W.partitionBy("anchor"))
+    met = written(_segment_rows(docs, policy).withColumn("often", often).where("often > 1").drop("often"), "repeat-segments")
     kinds = met.groupBy("anchor", "segment").agg(F.count("*").alias("c"), F.min(F.struct("row", "first", "n")).alias("one"))
     kinds = written(kinds.select("anchor", "segment", "c", "one.row", "one.first", "one.n"), "repeat-kinds")
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1")

@@ -155,6 +155,42 @@ def test_column_wise_order_is_suffix_order(tmp_path):
         assert suffixes == sorted(suffixes) and len(set(at)) == sum(map(len, strings)) + len(strings)
 
 
+def test_starts_up_to_anchors_are_ordered_in_half_the_rounds(tmp_path, monkeypatch):
+    """The construction ends at the anchors, takes no round for what lies behind other anchors, and leaves no file behind."""
+    rng = random.Random(8)
+    gram, rounds, built = 4, [], column_bwt.column_wise_order
+
+    def spy(strings, folder):
+        rounds.append(max(map(len, strings)))
+        return built(strings, folder)
+
+    monkeypatch.setattr(column_bwt, "column_wise_order", spy)
+    for _ in range(40):
+        at = [rng.randint(0, 6) for _ in range(9)]
+        anchors = [rng.choice((5, -3, 40)) for _ in at]
+        names = {5: b"aaaa", -3: b"abab", 40: b"bbbb"}
+        parts = [bytes(rng.choices(b"ab", k=x)) + names[a] + bytes(rng.choices(b"ab", k=rng.randint(0, 6))) for a, x in zip(anchors, at)]
+        got = list(zip(*column_bwt.anchored_order([np.frombuffer(p, np.uint8) for p in parts], anchors, at, gram, str(tmp_path))))
+        first = {a: i for i, a in enumerate(dict.fromkeys(anchors))}
+        keys = [(parts[i][s:at[i]], first[anchors[i]], parts[i][at[i] + gram:]) for i, s in got]
+        assert keys == sorted(keys) and sorted(got) == [(i, s) for i, x in enumerate(at) for s in range(x + 1)]
+    assert max(rounds) <= 6 and not list(tmp_path.iterdir())
+
+
+def test_segments_are_made_in_one_scan_and_one_shuffle(spark, monkeypatch):
+    tables, keep = {}, column_bwt.written
+
+    def spy(df, name):
+        tables[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(column_bwt, "written", spy)
+    text = words(random.Random(1), 90)
+    assert column_bwt.remove_repeats(frame(spark, [text, text, None])).agg(F.sum("n_removed")).first()[0] == 2 * len(text.encode())
+    plan = tables["repeat-segments"]
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_orc_round_trip_and_lookup(spark, tmp_path):
     path, texts = tokenizer_file("byte_bpe_50k.json"), ["hello world", None, "", "  two  spaces\n\n", "don't stop 123", "naïve 中文"]
     docs = frame(spark, texts).orderBy(F.desc("doc_id"))
