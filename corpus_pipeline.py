@@ -31,11 +31,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = boosted_quality.fit_quality(written(boosted_quality.document_statistics(known), "statistics"), labels)
 
     def make():
-        import numpy as np
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        return lambda texts: {"score": model.score(np.array([boosted_quality.statistics(t, compress) for t in texts])).tolist()}
+        return lambda texts: {"score": model.score(boosted_quality.text_statistics(texts, compress)).tolist()}
 
     # Scored beside the whole row, which travels as one value: ids need not be unique, columns may have any name, no join carries texts.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))

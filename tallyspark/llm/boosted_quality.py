@@ -11,10 +11,12 @@ count as often as they occur; null labels teach nothing. Without any usable labe
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import map_texts
@@ -25,10 +27,10 @@ STATISTICS = (
     "distinct", "top_word", "top_pair", "same_as_before", "dup_lines", "words_per_line", "symbol_ends", "no_letter_words",
     "zstd", "long_words", "capital_words",
 )
-_CLASSES = {"upper": re.compile(r"[A-ZÀ-ÖØ-Þ]"), "digits": re.compile(r"[0-9]"), "symbols": re.compile(r"[#*$%&|<>{}\[\]\\^~=+@_/]"),
-            "punctuation": re.compile(r"[.,;:!?'\"()-]")}
-_LETTER = re.compile(r"[^\W\d_]")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A character is of the first kind that matches it; the first two separate words.
+KINDS = {name: re.compile(pattern, re.DOTALL) for name, pattern in {
+    "blanks": r"[ \n\t]", "other_blanks": r"[\r\x0B\x0C]", "upper": r"[A-ZÀ-ÖØ-Þ]", "letters": r"[^\W\d_]", "digits": r"[0-9]", "pipes": r"\|",
+    "symbols": r"[#*$%&<>{}\[\]\\^~=+@_/]", "exclaims": r"!", "punctuation": r"[.,;:?'\"()-]", "others": r"."}.items()}
 
 
 @dataclass(frozen=True)
@@ -44,27 +46,92 @@ class BoostPolicy:
     min_rows: int = 5
 
 
+def _characters(codes: np.ndarray, wanted: Callable[[str], list]) -> np.ndarray:
+    """What ``wanted`` says of each character, given once for all different ones."""
+    points = np.flatnonzero(np.bincount(codes))
+    table = np.zeros(int(points[-1]) + 1 if len(points) else 0, np.int8)
+    table[points] = wanted("".join(map(chr, points.tolist())))
+    return table[codes]
+
+
+def _kinds(characters: str) -> list[int]:
+    return [next(k for k, pattern in enumerate(KINDS.values()) if pattern.match(c)) for c in characters]
+
+
+def _distinct_and_top(doc: np.ndarray, value: np.ndarray, values: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """By document, the number of its different values and how often the commonest occurs."""
+    keys, counts = np.unique(doc * values + value, return_counts=True)
+    owner = keys // values
+    top = np.zeros(docs, np.int64)
+    np.maximum.at(top, owner, counts)
+    return np.bincount(owner, minlength=docs), top
+
+
+def text_statistics(texts: list[str | None], compress) -> np.ndarray:
+    """A row for each text with a value for each name in STATISTICS; shares are of characters, words or lines.
+
+    Texts are laid end to end as code points, so that a few numpy steps serve them all; words are numbered by Arrow.
+    """
+    texts, docs = [t or "" for t in texts], len(texts)
+    data = [t.encode("utf-8", "replace") for t in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, docs)
+    stop = np.cumsum(sizes)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _characters(codes, _kinds)
+    kinds = np.bincount(np.repeat(np.arange(docs) * len(KINDS), sizes) + kind, minlength=docs * len(KINDS)).reshape(docs, len(KINDS))
+    count, numbers = dict(zip(KINDS, kinds.T)), {name: i for i, name in enumerate(KINDS)}
+
+    # Words: stretches without blanks that never cross the end of a text.
+    inside = np.append(kind > 1, False)
+    ends_before = np.append(True, ~inside[:-1])
+    ends_before[stop - sizes] = True
+    ends_after = ~inside[1:]
+    ends_after[stop[sizes > 0] - 1] = True
+    first, last = np.flatnonzero(inside & ends_before), np.flatnonzero(inside[:-1] & ends_after)
+    doc = np.searchsorted(stop, first, "right")
+    n_words = np.bincount(doc, minlength=docs)
+    k = np.maximum(n_words, 1)
+    length = (last - first + 1).astype(np.float64)
+
+    def share(flags: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, flags, docs) / k
+
+    mean = np.bincount(doc, length, docs) / k
+    squares, edge = (length - mean[doc])**2, np.cumsum([0, *n_words])
+    variance = np.array([squares[a:b].sum() for a, b in zip(edge, edge[1:])]) / k
+    capital = _characters(codes[first], lambda cs: [c.isupper() for c in cs])
+    symbol_end = _characters(codes[last], lambda cs: [not c.isalnum() and c not in ".,;:!?'\")" for c in cs])
+    letter = (kind == numbers["upper"]) | (kind == numbers["letters"])
+    no_letter = ~np.logical_or.reduceat(letter, first) if len(first) else np.zeros(0, bool)  # blanks up to the next word are no letters
+
+    trimmed = pc.ascii_trim_whitespace(pa.array(data, pa.large_string()))  # a blank at either end would make an empty word
+    words = pc.ascii_split_whitespace(trimmed.filter(pc.not_equal(trimmed, ""))).flatten().dictionary_encode()
+    word, values = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+    distinct, top_word = _distinct_and_top(doc, word, values, docs)
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    _, top_pair = _distinct_and_top(doc[inner], word[inner] * values + word[inner + 1], values**2, docs)
+    same_as_before = np.bincount(doc[inner], word[inner] == word[inner + 1], docs)
+
+    lines = [[x for x in t.split("\n") if WORD.search(x)] for t in texts]
+    n_lines = np.fromiter(map(len, lines), np.int64, docs)
+    own_lines = np.fromiter((len(set(x)) for x in lines), np.int64, docs)
+    n, some_lines = np.maximum(sizes, 1), np.maximum(n_lines, 1)
+    zstd = np.array([len(compress(x)) / max(len(x), 1) for x in data])
+    made = {
+        "log_words": np.log1p(n_words), "mean_word": mean, "sd_word": np.sqrt(variance), "letters": (count["upper"] + count["letters"]) / n,
+        "upper": count["upper"] / n, "digits": count["digits"] / n, "blanks": count["blanks"] / n, "symbols": (count["symbols"] + count["pipes"]) / n,
+        "punctuation": (count["punctuation"] + count["exclaims"]) / n, "pipes": count["pipes"] / n, "exclaims": count["exclaims"] / n,
+        "distinct": distinct / k, "top_word": top_word / k, "top_pair": top_pair / k, "same_as_before": same_as_before / k,
+        "dup_lines": np.where(n_lines > 0, 1 - own_lines / some_lines, 0.0), "words_per_line": n_words / some_lines,
+        "symbol_ends": share(symbol_end), "no_letter_words": share(no_letter), "zstd": zstd, "long_words": share(length > 12),
+        "capital_words": share(capital),
+    }
+    return np.stack([made[x] for x in STATISTICS], 1)
+
+
 def statistics(text: str | None, compress) -> list[float]:
-    """One value for each name in STATISTICS; shares are of characters, words or lines."""
-    t = text or ""
-    words, n = WORD.findall(t), max(len(t), 1)
-    k = max(len(words), 1)
-    lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
-    counts = Counter(words)
-    pairs = Counter(zip(words, words[1:]))
-    lines = [x for x in t.split("\n") if WORD.search(x)]
-    count = {c: len(r.findall(t)) / n for c, r in _CLASSES.items()}
-    letters = sum(map(len, _LETTERS.findall(t)))
-    data = t.encode("utf-8", "replace")
-    return [
-        float(np.log1p(len(words))), float(lengths.mean()), float(lengths.std()), letters / n, count["upper"], count["digits"],
-        (t.count(" ") + t.count("\n") + t.count("\t")) / n, count["symbols"], count["punctuation"], t.count("|") / n,
-        t.count("!") / n, len(counts) / k, counts.most_common(1)[0][1] / k if words else 0.0,
-        max(pairs.values()) / k if pairs else 0.0, sum(a == b for a, b in zip(words, words[1:])) / k,
-        1 - len(set(lines)) / len(lines) if lines else 0.0, len(words) / max(len(lines), 1),
-        sum(not w[-1].isalnum() and w[-1] not in ".,;:!?'\")" for w in words) / k, sum(not _LETTER.search(w) for w in words) / k,
-        len(compress(data)) / max(len(data), 1), sum(len(w) > 12 for w in words) / k, sum(w[0].isupper() for w in words) / k,
-    ]
+    """The statistics of one text."""
+    return text_statistics([text], compress)[0].tolist()
 
 
 def document_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -74,7 +141,7 @@ def document_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...]
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=1).compress
-        return lambda texts: {"stats": [statistics(t, compress) for t in texts]}
+        return lambda texts: {"stats": text_statistics(texts, compress).tolist()}
 
     return map_texts(df, [text], "stats array<double>", make, keep)
 

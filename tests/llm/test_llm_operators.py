@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import Row, functions as F
 from tokenizers import Tokenizer
 
@@ -223,6 +224,46 @@ def test_byte_bpe_equals_tiktoken_and_decodes(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
+def plain_statistics(t, compress):
+    """The statistics of one text by their definitions, one after the other."""
+    t = t or ""
+    found = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, k, lengths = max(len(t), 1), max(len(found), 1), np.array([*map(len, found)] or [0], float)
+    counts, pairs = collections.Counter(found), collections.Counter(zip(found, found[1:]))
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    share = lambda p: len(re.findall(p, t)) / n
+    data = t.encode("utf-8", "replace")
+    return [
+        float(np.log1p(len(found))), lengths.mean(), lengths.std(), share(r"[^\W\d_]"), share("[A-ZÀ-ÖØ-Þ]"), share("[0-9]"), share(r"[ \n\t]"),
+        share(r"[#*$%&|<>{}\[\]\\^~=+@_/]"), share(r"[.,;:!?'\"()-]"), share(r"\|"), share("!"), len(counts) / k, max(counts.values(), default=0) / k,
+        max(pairs.values(), default=0) / k, sum(a == b for a, b in zip(found, found[1:])) / k, 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        len(found) / max(len(lines), 1), sum(not w[-1].isalnum() and w[-1] not in ".,;:!?'\")" for w in found) / k,
+        sum(not re.search(r"[^\W\d_]", w) for w in found) / k, len(compress(data)) / max(len(data), 1), sum(len(w) > 12 for w in found) / k,
+        sum(w[0].isupper() for w in found) / k]
+
+
+def test_statistics_of_many_texts_at_once_are_those_of_each():
+    rng = random.Random(9)
+    compress = zstandard.ZstdCompressor(level=1).compress
+    texts = [None, "", " ", "\n", "a", " a", "a ", "A b A b A b", "\x0b\x0c\r", "x\x0by\x0cz\rw", "a\x85c\x1fd　e", "² ½ Ⅷ 〇 ٣", "a\n\na\n \na", "\ud800 x", ""]
+    texts += ["".join(rng.choices(" \n\t\r\x0b\x0cabAB|!.,#_9é中²٣\x85\xa0\x1c\U0001f600", k=rng.randrange(80))) for _ in range(300)]
+    texts += [words(rng, n) for n in (1, 7, 8, 9, 129, 3000)]
+    want = [plain_statistics(t, compress) for t in texts]
+    assert boosted_quality.text_statistics(texts, compress).tolist() == want
+    assert [boosted_quality.statistics(t, compress) for t in texts] == want
+    assert boosted_quality.text_statistics([], compress).shape == (0, len(boosted_quality.STATISTICS))
+
+
+def test_a_slice_of_texts_is_worked_out_at_once(spark, monkeypatch):
+    """The map over the texts takes whole slices: 500 short texts in one task are one call."""
+    calls, many = [], boosted_quality.text_statistics
+    monkeypatch.setattr(boosted_quality, "text_statistics", lambda texts, compress: calls.append(len(texts)) or many(texts, compress))
+    made = {}
+    monkeypatch.setattr(boosted_quality, "map_texts", lambda df, inputs, schema, make, keep: made.update(work=make()) or df)
+    boosted_quality.document_statistics(frame(spark, []))
+    assert len(made["work"](["a b"] * 500)["stats"]) == 500 and calls == [500]
+
+
 def test_boosted_trees_learn_and_flatten():
     rng = np.random.default_rng(6)
     x = rng.random((2000, 5))
