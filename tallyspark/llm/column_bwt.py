@@ -8,10 +8,10 @@ compared are the different segments of one anchor.
 These go, many anchors together, through the construction of their common Burrows-Wheeler transform: each round inserts one symbol
 of every segment, from the last to the first, reading the transform from one file and writing the next. Every string runs
 through its anchor, so suffixes that start behind one are never asked for: once the anchors are reached, the order of what follows
-them is kept and the transform goes on with the symbols before them. The places of the inserted suffixes follow from the number of equal symbols
-before them. When all rounds are done suffixes are in order, and the common prefixes of neighbours tell which strings
-repeat. An anchor with very many different segments would be a task of its own: its strings are dealt out by their own hash
-and counted instead, which is exact as well.
+them is kept and the transform goes on with the symbols before them. The places of the inserted suffixes follow from the number of
+equal symbols before them. When all rounds are done suffixes are in order, and the common prefixes of neighbours tell which
+strings repeat. An anchor with very many different segments would be a task of its own: its strings are dealt out by their
+own hash and counted instead, which is exact as well.
 
 Texts count as UTF-8 bytes, null as none. Strings never reach over a document's end. Repeated rows repeat each other's bytes.
 """
